@@ -61,3 +61,23 @@ def text_of(column: str = "text"):
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of the id's decimal text, as the fold rules use it (null: crc32 of nothing)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def slices(batches, column: str = "text", max_bytes: int = 4 << 20):
+    """Arrow batches cut so that ``column`` holds about ``max_bytes`` each (one row at least)."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+        begin = total = 0
+        for i, n in enumerate(sizes):
+            if total and total + n > max_bytes:
+                yield batch.slice(begin, i - begin)
+                begin, total = i, 0
+            total += n
+        if len(sizes) > begin:
+            yield batch.slice(begin)
+
+
+def texts_of(batch, column: str = "text") -> list[str]:
+    return [t or "" for t in batch.column(column).to_pylist()]

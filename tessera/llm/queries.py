@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from .exact_dedup import ORACLE_OP4, op4_exact_dedup
 from .line_dedup import ORACLE_OP8, op8_line_dedup
+from .secrets import op10_secret_scan
+from .token_counts import op7_token_counts
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op8_line_dedup": op8_line_dedup}
+QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_secret_scan": op10_secret_scan,
+}
+#: Where SQL can express the result; the others are tested against brute force in tests/llm.
 ORACLE_SQL = {"op4_exact_dedup": ORACLE_OP4, "op8_line_dedup": ORACLE_OP8}
