@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .exact_dedup import ORACLE_OP4, op4_exact_dedup
+from .fingerprints import op9_syncmer_fingerprints
 from .line_dedup import ORACLE_OP8, op8_line_dedup
+from .packing import op2_kk_packing
 from .secrets import op10_secret_scan
 from .token_counts import op7_token_counts
 
 QUERIES = {
+    "op2_kk_packing": op2_kk_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
+    "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
     "op10_secret_scan": op10_secret_scan,
 }
 #: Where SQL can express the result; the others are tested against brute force in tests/llm.
