@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import arrow_map, slices, texts_of
 
 #: Token-position rows (w: word, p: position, id) meet the merge table; of each word the pair of
 #: least rank, the leftmost of equals, becomes one token, until no word has a pair to contract.
@@ -213,7 +213,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, digests: bool =
 
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     docs = docs.select(F.col("doc_id"), F.col("text"))
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, " + ", ".join(f"{n} {'string' if digests else 'binary'}" for n in names))
+    return arrow_map(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, " + ", ".join(f"{n} {'string' if digests else 'binary'}" for n in names))
 
 
 def decode_documents(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -227,7 +227,7 @@ def decode_documents(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(c.decode([x or b"" for x in batch.column("ids").to_pylist()]), pa.binary())], names=["doc_id", "decoded"])
 
     rows = rows.select("doc_id", "ids")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, decoded binary")
+    return arrow_map(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, decoded binary")
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

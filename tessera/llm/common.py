@@ -81,3 +81,26 @@ def slices(batches, column: str = "text", max_bytes: int = 4 << 20):
 
 def texts_of(batch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (once a Spark context)."""
+    import pathlib
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    top = pathlib.Path(__file__).resolve().parents[2]
+    path = pathlib.Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted((top / "tessera").rglob("*.py")):
+            out.write(file, file.relative_to(top))
+    sc.addPyFile(str(path))
+    sc._tessera_shipped = True
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package."""
+    shipped(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, settled, slices, text_of
+from .common import arrow_map, partitions, settled, slices, text_of
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -151,7 +151,7 @@ def fingerprints_with_edit(docs: DataFrame, size: int = 64, k: int = 16, s: int
                 yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, types)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return with_next(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return arrow_map(with_next(docs), run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op9_syncmer_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import arrow_map, slices, texts_of
 
 
 class ChunkEncoder:
@@ -229,7 +229,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         yield from rows(list(packer.finish()))
 
     docs = docs.select(F.col("doc_id"), F.col("text"))
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {PIECES}" + ", ids binary" * with_ids)
+    return arrow_map(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, {PIECES}" + ", ids binary" * with_ids)
 
 
 def op2_kk_packing(spark, sf_dir: str) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from .bpe import op6_byte_bpe
 from .exact_dedup import ORACLE_OP4, op4_exact_dedup
 from .fingerprints import op9_syncmer_fingerprints
 from .line_dedup import ORACLE_OP8, op8_line_dedup
 from .packing import op2_kk_packing
+from .quality import op5_quality_gam
 from .secrets import op10_secret_scan
 from .token_counts import op7_token_counts
+from .toxicity import op3_toxicity_fm
 
 QUERIES = {
     "op2_kk_packing": op2_kk_packing,
+    "op3_toxicity_fm": op3_toxicity_fm,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_gam": op5_quality_gam,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
