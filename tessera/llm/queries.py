@@ -6,6 +6,7 @@ from .bpe import op6_byte_bpe
 from .exact_dedup import ORACLE_OP4, op4_exact_dedup
 from .fingerprints import op9_syncmer_fingerprints
 from .line_dedup import ORACLE_OP8, op8_line_dedup
+from .ngram_join import op1_ngram_join
 from .packing import op2_kk_packing
 from .quality import op5_quality_gam
 from .secrets import op10_secret_scan
@@ -13,6 +14,7 @@ from .token_counts import op7_token_counts
 from .toxicity import op3_toxicity_fm
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_kk_packing": op2_kk_packing,
     "op3_toxicity_fm": op3_toxicity_fm,
     "op4_exact_dedup": op4_exact_dedup,
