@@ -6,7 +6,6 @@ import os
 import uuid
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +27,10 @@ def read_panel(spark: SparkSession, path: str, columns: Iterable[str] | None = N
 def with_row_id(df: DataFrame, name: str = "_row_id") -> DataFrame:
     """The row's place in its source as a sortable column: file and row number for a scan of files,
     which stays the same if a task is repeated; else the row's place in the plan."""
-    try:
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput()
+    if "_metadata" in {hidden.apply(i).name() for i in range(hidden.size())}:
         return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
-    except AnalysisException:
-        return df.withColumn(name, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")))
+    return df.withColumn(name, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
 def write_panel(df: DataFrame, path: str) -> None:
