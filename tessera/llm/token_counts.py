@@ -9,11 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import arrow_map, slices, texts_of
 
 SPACE = "▁"
 #: A run of the pieces that consist of spaces only grows by whole pieces of this many.
 SPACE_RUN = 16
+#: Tables of longer words are made one by one and not cached.
+LONG_WORD = 64
 
 
 class PrefixCounter:
@@ -32,7 +34,7 @@ class PrefixCounter:
     for each code point.
     """
 
-    def __init__(self, model: str, max_cached: int = 300_000):
+    def __init__(self, model: str, max_cached: int = 400_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -43,6 +45,26 @@ class PrefixCounter:
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
+        # For tables of many words at once: pieces by number, and a trie of the reversed pieces,
+        # its steps sorted as node << 21 | code point.
+        self.pieces = list(self.scores)
+        number = {p: i for i, p in enumerate(self.pieces)}
+        steps: dict[int, int] = {}
+        ends = [-1]
+        for piece in self.pieces:
+            node = 0
+            for c in reversed(piece):
+                key = node << 21 | ord(c)
+                if key not in steps:
+                    steps[key] = len(ends)
+                    ends.append(-1)
+                node = steps[key]
+            ends[node] = number[piece]
+        self.step_keys = np.array(sorted(steps), np.int64)
+        self.step_nodes = np.array([steps[k] for k in self.step_keys.tolist()], np.int32)
+        self.ends = np.array(ends, np.int32)
+        self.standing = np.full(len(self.pieces), -1, np.int8)
+        self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.spaces = [0, 1] + [len(sp.encode(" " * (j - 1))) for j in range(2, 2 * SPACE_RUN + 1)]
 
     def space_run(self, n: int) -> int:
@@ -68,7 +90,7 @@ class PrefixCounter:
         key = (left, right)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 4 * self.max_cached:
+            if len(self.pairs) >= self.max_cached:
                 self.pairs.clear()
             found = self.pairs[key] = self.merged(left + right) == [left, right]
         return found
@@ -96,6 +118,83 @@ class PrefixCounter:
                 raise ValueError(f"no piece ends prefix {word[:i]!r}")
         return counts, lone
 
+    def _fits_all(self, keys: np.ndarray) -> np.ndarray:
+        """``fits`` for pairs of piece numbers, left * pieces + right."""
+        at = np.searchsorted(self.pair_keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.pair_keys)
+        known[inside] = self.pair_keys[at[inside]] == keys[inside]
+        if not known.all():
+            n = len(self.pieces)
+            fresh = np.unique(keys[~known])
+            fits = np.array([self.merged(self.pieces[k // n] + self.pieces[k % n]) == [self.pieces[k // n], self.pieces[k % n]] for k in fresh.tolist()])
+            if len(self.pair_keys) + len(fresh) > 8 * self.max_cached:
+                self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+                return self._fits_all(keys)
+            order = np.argsort(merged := np.concatenate([self.pair_keys, fresh]), kind="stable")
+            self.pair_keys, self.pair_fits = merged[order], np.concatenate([self.pair_fits, fits])[order]
+            at = np.searchsorted(self.pair_keys, keys)
+        return self.pair_fits[at]
+
+    def tables(self, words: list[str]) -> list[bytes]:
+        """``word`` of many words after one space: the same recurrence, position by position for
+        all words at once."""
+        words = [SPACE + w for w in words]
+        n, sizes = len(self.pieces), np.array([len(w) for w in words])
+        width = int(sizes.max())
+        chars = np.zeros((len(words), width), np.int64)
+        chars[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        counts = np.zeros((len(words), width + 1), np.int32)
+        lasts = np.full((len(words), width + 1), -1, np.int32)  # -1: the begin, or bytes
+        for i in range(1, width + 1):
+            rows = np.flatnonzero(sizes >= i)
+            nodes = np.zeros(len(rows), np.int64)
+            for size in range(1, min(i, self.longest) + 1):
+                j = i - size
+                keys = nodes << 21 | chars[rows, j]
+                at = np.minimum(np.searchsorted(self.step_keys, keys), len(self.step_keys) - 1)
+                found = self.step_keys[at] == keys
+                if size == 1 and not found.all():  # byte fallback; nothing merges with it
+                    odd = rows[~found]
+                    c = chars[odd, j]
+                    counts[odd, i] = counts[odd, j] + 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+                rows, nodes = rows[found], self.step_nodes[at[found]].astype(np.int64)
+                if not len(rows):
+                    break
+                piece = self.ends[nodes]
+                ended = np.flatnonzero(piece >= 0)
+                if len(ended):
+                    r, p = rows[ended], piece[ended]
+                    unsure = np.unique(p[self.standing[p] < 0])
+                    for x in unsure.tolist():
+                        self.standing[x] = self.stands(self.pieces[x])
+                    left = lasts[r, j]
+                    good = self.standing[p] == 1
+                    pair = np.flatnonzero(good & (left >= 0))
+                    if len(pair):
+                        good[pair] = self._fits_all(left[pair].astype(np.int64) * n + p[pair])
+                    r, p = r[good], p[good]
+                    counts[r, i], lasts[r, i] = counts[r, j] + 1, p
+                    open_ = np.ones(len(rows), bool)
+                    open_[ended[good]] = False  # the one piece is found
+                    rows, nodes = rows[open_], nodes[open_]
+                    if not len(rows):
+                        break
+        if (counts[np.arange(width + 1) <= sizes[:, None]] < 0).any() or (counts[:, 1:][np.arange(1, width + 1) <= sizes[:, None]] == 0).any():
+            raise ValueError("a prefix has no last piece")
+        steps = np.diff(counts, axis=1).astype(np.int8)
+        return [row[:size].tobytes() for row, size in zip(steps, sizes.tolist())]
+
+    def add(self, texts: list[str]) -> None:
+        """Makes the tables of the words of ``texts`` that are not cached."""
+        fresh = {w for t in texts if t for w in t.replace(SPACE, " ").split(" ")}
+        if len(self.words) + len(fresh) > self.max_cached:
+            self.words.clear()
+        fresh = sorted((w for w in fresh - self.words.keys() if len(w) <= LONG_WORD), key=len)
+        for i in range(0, len(fresh), 20_000):
+            part = fresh[i : i + 20_000]
+            self.words.update(zip(part, self.tables(part)))
+
     def word(self, rest: str, spaces: int = 1) -> bytes:
         """Differences of the counts over the prefixes of that many spaces and ``rest``."""
         if spaces == 1 and (found := self.words.get(rest)) is not None:
@@ -105,10 +204,6 @@ class PrefixCounter:
             whole, less = self.space_run(spaces), self.space_run(spaces - 1)
             counts = [self.space_run(j) for j in range(spaces + 1)] + [whole + c - 1 if x else less + c for c, x in zip(counts[2:], lone[2:])]
         out = np.diff(counts).astype(np.int8).tobytes()
-        if spaces == 1 and len(rest) <= 64:
-            if len(self.words) >= self.max_cached:
-                self.words.clear()
-            self.words[rest] = out
         return out
 
     def differences(self, text: str) -> bytes:
@@ -167,6 +262,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         c = counter(model)
         for batch in slices(batches):
             texts = texts_of(batch)
+            c.add(texts)
             tables = [c.differences(t) for t in texts]
             columns = [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in tables], pa.int64())]
             names = ["doc_id", "n_bytes", "n_tokens"]
@@ -177,7 +273,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefix_store binary" * store)
+    return arrow_map(docs, run, f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefix_store binary" * store)
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:

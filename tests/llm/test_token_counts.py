@@ -12,6 +12,10 @@ COUNTER = T.counter(MODEL)
 
 
 def check_all_prefixes(text: str) -> None:
+    COUNTER.words.clear()
+    one_by_one = COUNTER.differences(text)
+    COUNTER.add([text])
+    assert COUNTER.differences(text) == one_by_one
     counts = T.prefix_counts(T.pack(COUNTER.differences(text)))
     got = COUNTER.library.encode([text[:i] for i in range(len(text) + 1)], num_threads=1)
     assert counts.tolist() == [len(x) for x in got], text
