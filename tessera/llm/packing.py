@@ -21,22 +21,45 @@ class ChunkEncoder:
     #: Ends of ASCII punctuation are matches of their own in the tokenizer's pattern.
     TAIL = re.compile(rb"^(.*[A-Za-z0-9])([.,!?;:%*#$&()\[\]{}|-]+)$")
 
-    def __init__(self, path: str, max_cached: int = 500_000):
+    def __init__(self, path: str, max_cached: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.max_cached = max_cached
         self.known: dict[bytes, bytes] = {}
+        tokens = self.library.get_vocab()
+        self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
 
     def add(self, chunks: set[bytes]) -> None:
-        stems = {c: m.groups() for c in chunks if b"<|" not in c and (m := self.TAIL.match(c))}
-        plain = [c for c in (chunks - stems.keys()).union(*stems.values()) if c not in self.known]
-        for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
-            for c, e in zip(part, self.library.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+        known, match = self.known, self.TAIL.match
+        stems = {c: m.groups() for c in chunks if (m := match(c)) and b"<|" not in c}
+        fresh = [c for c in (chunks - stems.keys()).union(*stems.values()) if c not in known]
+        words, others = [], []
+        for c in fresh:
+            (words if (t := c.decode()).isalpha() else others).append((c, t))
+        for i in range(0, len(words), 2000):
+            self._add_words(words[i : i + 2000])
+        for i in range(0, len(others), 2000):
+            self._add_each(others[i : i + 2000])
         for c, (stem, tail) in stems.items():
-            self.known[c] = self.known[stem] + self.known[tail]
+            known[c] = known[stem] + known[tail]
+
+    def _add_words(self, part: list[tuple[bytes, str]]) -> None:
+        """Words of letters only are one match each, so one call takes many of them: every match
+        ends in a token with the end-of-word mark."""
+        ids = np.array(self.library.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        if len(ends) != len(part):  # a letter that is taken apart in normalisation
+            return self._add_each(part)
+        data, begin = ids.tobytes(), 0
+        for (c, _), end in zip(part, ends):
+            self.known[c] = data[begin:end]
+            begin = end
+
+    def _add_each(self, part: list[tuple[bytes, str]]) -> None:
+        for (c, _), e in zip(part, self.library.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
+            self.known[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

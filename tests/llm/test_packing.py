@@ -44,7 +44,7 @@ def check(rows, texts, capacity=2048):
 
 def test_encoder_is_the_library(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    texts += ["", " ", "A<|endoftext|>b <|EndOfText|> <|startoftext|>", "H̱ İ KK don't WE'LL it's.", "a\x1cb\x85c\xa0d  e", "a...b!! 12.5%%% (x) '' --", "日本語 é 𝒳 ﬁ", "end.' x's. <|.", "X" * 5000]
+    texts += ["", " ", "A<|endoftext|>b <|EndOfText|> <|startoftext|>", "H̱ İ KK don't WE'LL it's.", "a\x1cb\x85c\xa0d  e", "a...b!! 12.5%%% (x) '' --", "日本語 é 𝒳 ﬁ", "end.' x's. <|.", "X" * 5000, "क़लम ﬁne ǅ ß K"]
     for coder in (P.ChunkEncoder(PATH), P.ChunkEncoder(PATH, max_cached=50)):
         assert [x + b"\x01\0\0\0" for x in coder.encode(texts)] == [ids(t) for t in texts]
 
