@@ -28,6 +28,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     struct = F.struct(*[F.col(c).alias(f"r{i}") for i, c in enumerate(payload)])
     lefts = left.select(*by, F.col(left_on).alias("__t"), F.lit(1).alias("__side"), F.struct(*[F.col(c).alias(f"l{i}") for i, c in enumerate(keep)]).alias("__l"))
     rights = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("__t"), F.lit(0).alias("__side"), struct.alias("__r"))
+    # Dealt by the first key; what is so dealt already (an earlier as-of join) stays in place.
     both = lefts.unionByName(rights, allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")

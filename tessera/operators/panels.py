@@ -49,18 +49,22 @@ def rebalance_panel(df: DataFrame, by: str = "security_id", date: str = "date")
     family = families([c for c in df.columns if c != "__row"], (by, date))
     fund, act, cons = family["fundamentals"], family["actuals"], family["consensus"]
     latest = (F.col(date).desc_nulls_last(), F.col("__row").desc())
+    # Each family is dealt by the entity once; de-duplication, unions and as-of windows keep to it.
     known = df.where(F.col(by).isNotNull())
 
-    right = keep_last(known.where("announce_date is not null"), [by, "announce_date"], *latest).select(by, *fund)
+    def dealt(told: str, columns: list[str]) -> DataFrame:
+        return known.where(F.col(told).isNotNull()).select(*dict.fromkeys([by, date, "__row", *columns])).repartition(by)
+
+    right = keep_last(dealt("announce_date", fund), [by, "announce_date"], *latest).select(by, *fund)
     out = asof_join(rebalance_grid(df, by, date), right, [by], "rebalance_date", "announce_date")
     out = null_where(out, F.col("announce_date") < F.col("prev_q"), [c for c in fund if c not in IDENTITY])
 
-    right = keep_last(known.where("actuals_announce_date is not null"), [by, "actuals_announce_date"], *latest).select(by, *act)
+    right = keep_last(dealt("actuals_announce_date", act), [by, "actuals_announce_date"], *latest).select(by, *act)
     out = asof_join(out, right, [by], "rebalance_date", "actuals_announce_date")
     out = null_where(out, F.col("actuals_announce_date") < F.col("prev_q"), act)
 
     keys = [by, "consensus_forecast_period_end", "consensus_statistic_date"]
-    right = keep_last(known.dropna(subset=keys[1:]), keys, *latest).select(by, *cons).withColumn("__pe", F.col("consensus_forecast_period_end"))
+    right = keep_last(dealt("consensus_statistic_date", cons).dropna(subset=keys[1:]), keys, *latest).select(by, *cons).withColumn("__pe", F.col("consensus_forecast_period_end"))
     out = asof_join(out.withColumn("__pe", F.col("actuals_period_end")), right, [by, "__pe"], "actuals_announce_date", "consensus_statistic_date")
     out = null_where(out, F.col("actuals_actual_eps").isNull(), cons)
     return out.select(by, "rebalance_date", *fund, *act, *cons)

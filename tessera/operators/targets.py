@@ -25,27 +25,32 @@ def return_state(daily: DataFrame, return_unit: str = "fraction", identifiers: l
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     log = F.sum(F.when(F.col("__valid"), F.log1p("__r")).otherwise(F.lit(0.0))).over(so_far)
     broken = F.sum(F.when(F.col("__valid"), F.lit(0)).otherwise(F.lit(1)).cast("long")).over(so_far)
-    return d.select(*ids, "date", log.alias("cum_log_return"), broken.alias("cum_invalid"))
+    # The market's last date of a month: nothing was observed on a later one of the same month.
+    last = F.col("next_market").isNull() | (F.last_day("next_market") != F.last_day("date"))
+    return d.select(*ids, "date", log.alias("cum_log_return"), broken.alias("cum_invalid"), last.alias("market_month_end"))
 
 
 def market_month_end(state: DataFrame) -> DataFrame:
     """Rows on the last date of the month on which anything traded; the month's number beside."""
-    months = state.groupBy(month_index("date").alias("__m")).agg(F.max("date").alias("__end"))
-    met = state.withColumn("month", month_index("date")).join(F.broadcast(months), (F.col("month") == F.col("__m")) & (F.col("date") == F.col("__end")))
-    return met.drop("__m", "__end")
+    return state.where("market_month_end").drop("market_month_end").withColumn("month", month_index("date"))
 
 
 def horizon_targets(month_ends: DataFrame, months: int, quarter_end_only: bool = False) -> DataFrame:
     """Total return over the next ``months`` months from each month end; missing if the security
-    has no row at that end or a day between breaks the chain. Rows without a target stay."""
+    has no row at that end or a day between breaks the chain. Rows without a target stay.
+
+    The row ``months`` later is the one row in a range frame of exactly that distance, so the
+    panel is neither scanned nor shuffled again for a join with itself."""
     target, end = f"target_{months}m", f"target_{months}m_end_date"
     ids = [c for c in month_ends.columns if c not in ("date", "month", "cum_log_return", "cum_invalid")]
-    start = month_ends.where(F.month("date").isin(3, 6, 9, 12)) if quarter_end_only else month_ends
-    ends = month_ends.select(F.col("security_id").alias("__id"), (F.col("month") - months).alias("__m"), F.col("date").alias("__end"), F.col("cum_log_return").alias("__log"), F.col("cum_invalid").alias("__bad"))
-    met = start.join(ends, (F.col("security_id") == F.col("__id")) & (F.col("month") == F.col("__m")), "left")
-    value = F.when(F.col("__bad") - F.col("cum_invalid") == 0, F.expm1(F.col("__log") - F.col("cum_log_return")))
+    w = Window.partitionBy("security_id").orderBy("month").rangeBetween(months, months)
+    met = month_ends.withColumn("__end", F.first(F.struct("date", "cum_log_return", "cum_invalid")).over(w))
+    if quarter_end_only:  # of the samples only; any month end may be an endpoint
+        met = met.where(F.month("date").isin(3, 6, 9, 12))
+    whole = F.col("__end.cum_invalid") == F.col("cum_invalid")
+    value = F.when(whole, F.expm1(F.col("__end.cum_log_return") - F.col("cum_log_return")))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return met.select(*ids, iso("date").alias("date"), iso("__end").alias(end), value.alias(target))
+    return met.select(*ids, iso("date").alias("date"), iso("__end.date").alias(end), value.alias(target))
 
 
 def target_report(targets: DataFrame, months: int) -> DataFrame:

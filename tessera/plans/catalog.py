@@ -180,7 +180,7 @@ def _(df):
 
 @query("calendar_rank", LINES.replace("l_tax FROM", "l_tax, CAST(l_shipdate AS DATE) AS date FROM"), "SELECT CAST(date AS VARCHAR) AS market_date, CAST(lag(date) OVER (ORDER BY date) AS VARCHAR) AS prev_market, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS date_rank FROM (SELECT DISTINCT date FROM b) x")
 def _(df):
-    return quality.market_calendar(df)
+    return quality.market_calendar(df).drop("next_market")
 
 
 @query("duplicate_count", LINES, "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM b GROUP BY l_orderkey, l_linenumber) x")
@@ -453,7 +453,7 @@ _TOTAL = "equity_total_return"
 
 @query("return_state", DAILY, _state_sql(_TOTAL) + f"SELECT security_id, ticker, CAST(date AS VARCHAR) AS date, {steady_sql('cum_log_return')} AS cum_log_return, cum_invalid FROM st")
 def _(df):
-    return targets.return_state(df).withColumn("cum_log_return", steady(F.col("cum_log_return")))
+    return targets.return_state(df).withColumn("cum_log_return", steady(F.col("cum_log_return"))).drop("market_month_end")
 
 
 @query("market_month_end", DAILY, _state_sql(_TOTAL) + "SELECT security_id, CAST(date AS VARCHAR) AS date, month, cum_invalid FROM me")
