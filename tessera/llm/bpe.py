@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,31 +14,26 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, slices, texts_of
 
-#: Token-position rows (w: word, p: position, id) meet the merge table; of each word the pair of
-#: least rank, the leftmost of equals, becomes one token, until no word has a pair to contract.
-#: Words that are tokens as a whole are done at once. A word's last iteration is its encoding;
-#: the bytes of its ids, aggregated in order, are its decoding.
+#: Token-position rows (w: word, p: position, id, nx: the next row's id) meet the merge table; of
+#: each word the pair of least rank, the leftmost of equals, becomes one token, until no word has a
+#: pair to contract. A word's last iteration is its encoding; the bytes of its ids, aggregated in
+#: order, are its decoding.
 ENCODE = """
-WITH RECURSIVE state(i, w, p, id) AS (
-  SELECT 0, t.w, t.p, t.id FROM token t
+WITH RECURSIVE state(i, w, p, id, nx) AS (
+  SELECT 0, t.w, t.p, t.id, t.nx FROM token t
   UNION ALL
-  SELECT i + 1, w, p, id FROM (
-    SELECT i, w, p, CASE WHEN p = spot THEN made ELSE id END AS id, spot, lag(p) OVER (PARTITION BY w ORDER BY p) AS prev
-    FROM (
-      SELECT i, w, p, id, (best & 4294967295)::INTEGER AS spot, (best >> 32)::INTEGER AS made
-      FROM (
-        SELECT i, w, p, id, min((m::BIGINT << 32) | p) OVER (PARTITION BY w) AS best
-        FROM (SELECT i, w, p, id, (id::BIGINT << 32) | lead(id) OVER (PARTITION BY w ORDER BY p) AS lr FROM state) a LEFT JOIN merge USING (lr)
-      ) b WHERE best IS NOT NULL
-    ) c
-  ) d WHERE prev IS NULL OR prev <> spot
-), ended AS (SELECT w, max(i) AS i FROM state GROUP BY w)
-SELECT w, list(id ORDER BY p) AS ids, unhex(string_agg(hex(bytes), '' ORDER BY p)) AS decoded
-FROM state JOIN ended USING (w, i) JOIN vocabulary USING (id) GROUP BY w ORDER BY w
+  (WITH a AS MATERIALIZED (SELECT i, w, p, id, nx FROM state),
+  least AS (SELECT w, min((m::BIGINT << 32) | p) AS best FROM a JOIN merge ON lr = (id::BIGINT << 32) | nx GROUP BY w),
+  c AS (SELECT i, w, p, id, nx, (best & 4294967295)::INTEGER AS spot, (best >> 32)::INTEGER AS made FROM a JOIN least USING (w)),
+  near AS (SELECT w, min(p) FILTER (p > spot) AS gone, max(p) FILTER (p < spot) AS prev, arg_min(coalesce(nx, -1), p) FILTER (p > spot) AS follows FROM c GROUP BY w)
+  SELECT i + 1, w, p, CASE WHEN p = spot THEN made ELSE id END, CASE WHEN p = prev THEN made WHEN p = spot THEN follows ELSE nx END
+  FROM c JOIN near USING (w) WHERE p <> gone)
+), ended AS (SELECT w, max(i) AS i FROM state GROUP BY w), final AS MATERIALIZED (SELECT w, p, id FROM state JOIN ended USING (w, i))
 """
+IDS = ENCODE + "SELECT w, list(id ORDER BY p) AS ids, string_agg(digits, '' ORDER BY p) AS decoded FROM final JOIN vocabulary USING (id) GROUP BY w"
 WHOLE = "SELECT word.w, id FROM word JOIN vocabulary USING (bytes) ORDER BY word.w"
 DECODE = """
-SELECT d, unhex(string_agg(hex(bytes), '' ORDER BY p)) AS decoded FROM ids JOIN vocabulary USING (id) GROUP BY d ORDER BY d
+SELECT d, string_agg(digits, '' ORDER BY p) AS decoded FROM ids JOIN vocabulary USING (id) GROUP BY d ORDER BY d
 """
 
 
@@ -49,7 +45,7 @@ class Coder:
     #: contracted by the same rule with a priority queue.
     LONG = 512
 
-    def __init__(self, path: str, pattern: str, max_cached: int = 250_000):
+    def __init__(self, path: str, pattern: str, max_cached: int = 800_000):
         import duckdb
         import pyarrow as pa
         import regex
@@ -59,13 +55,14 @@ class Coder:
         self.bytes = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.max_cached = max_cached
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}  # ids of a chunk
+        self.other: dict[str, bytes] = {}  # its decoded bytes, where they are not the chunk's own
         get = self.ranks.get
         merges = [(l << 32 | r, m) for t, m in self.ranks.items() for i in range(1, len(t)) if (l := get(t[:i])) is not None and (r := get(t[i:])) is not None]
         db = self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         db.execute("SET preserve_insertion_order = false")
         made = pa.table({"lr": pa.array([x for x, _ in merges], pa.int64()), "m": pa.array([m for _, m in merges], pa.int32())})
-        names = pa.table({"id": pa.array(list(self.bytes), pa.int32()), "bytes": pa.array(list(self.bytes.values()), pa.binary())})
+        names = pa.table({"id": pa.array(list(self.bytes), pa.int32()), "bytes": pa.array(list(self.bytes.values()), pa.binary()), "digits": [t.hex() for t in self.bytes.values()]})
         for name, rows in (("merge", made), ("vocabulary", names)):
             db.register("given", rows)
             db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -109,9 +106,12 @@ class Coder:
 
         sizes = np.array([len(words[w]) for w in rest])
         begins = np.cumsum(sizes) - sizes
-        token = pa.table({"w": np.repeat(np.array(rest, np.int32), sizes), "p": (np.arange(sizes.sum()) - np.repeat(begins, sizes)).astype(np.int32), "id": self.single[np.frombuffer(b"".join(words[w] for w in rest), np.uint8)]})
-        for w, ids, decoded in self._query(ENCODE, token=token):
-            out[w] = (np.array(ids, "<u4").tobytes(), bytes(decoded))
+        ids = self.single[np.frombuffer(b"".join([words[w] for w in rest]), np.uint8)]
+        follows = np.concatenate([ids[1:], np.array([-1], np.int32)])
+        follows[begins + sizes - 1] = -1
+        token = pa.table({"w": np.repeat(np.array(rest, np.int32), sizes), "p": (np.arange(sizes.sum()) - np.repeat(begins, sizes)).astype(np.int32), "id": ids, "nx": follows})
+        for w, ids, decoded in self._query(IDS, token=token):
+            out[w] = (array("I", ids).tobytes(), bytes.fromhex(decoded))
 
     def _long(self, word: bytes) -> list[int]:
         ids = self.single[np.frombuffer(word, np.uint8)].tolist()
@@ -150,22 +150,29 @@ class Coder:
         """Ids (little-endian unsigned 32-bit) and decoded bytes of each text."""
         split = [self._chunks(t) for t in texts]
         fresh = {c for chunks in split for c in chunks}
-        if len(self.known) + len(fresh) > self.max_cached:
+        if len(self.known) + len(fresh - self.known.keys()) > self.max_cached:
             self.known.clear()
+            self.other.clear()
         fresh -= self.known.keys()
+        known, other = self.known, self.other
         matches = {c: self.pattern.findall(c) for c in fresh}
-        words = list({w for found in matches.values() for w in found} - self.known.keys())
+        words = list({w for found in matches.values() for w in found} - known.keys())
         for i in range(0, len(words), 40_000):
             part = words[i : i + 40_000]
-            self.known.update(zip(part, self._contract([w.encode() for w in part])))
-        known = self.known
+            given = [w.encode() for w in part]
+            for w, own, (ids, decoded) in zip(part, given, self._contract(given)):
+                known[w] = ids
+                if decoded != own:
+                    other[w] = decoded
         for c, found in matches.items():
             if len(found) != 1:
-                known[c] = (b"".join([known[w][0] for w in found]), b"".join([known[w][1] for w in found]))
+                known[c] = b"".join([known[w] for w in found])
+                if other and not other.keys().isdisjoint(found):
+                    other[c] = b"".join([other.get(w) or w.encode() for w in found])
         out = []
-        for chunks in split:
-            both = [known[c] for c in chunks]
-            out.append((b"".join([a for a, _ in both]), b"".join([b for _, b in both])))
+        for text, chunks in zip(texts, split):
+            same = not other or other.keys().isdisjoint(chunks)
+            out.append((b"".join([known[c] for c in chunks]), text.encode() if same else b"".join([other.get(c) or c.encode() for c in chunks])))
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -176,7 +183,7 @@ class Coder:
         rows = pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), [len(a) for a in arrays]), "p": np.concatenate([np.arange(len(a), dtype=np.int32) for a in arrays] or [np.zeros(0, np.int32)]), "id": np.concatenate(arrays or [np.zeros(0, np.int32)])})
         out = [b""] * len(ids)
         for d, decoded in self._query(DECODE, ids=rows):
-            out[d] = bytes(decoded)
+            out[d] = bytes.fromhex(decoded)
         return out
 
 
