@@ -41,8 +41,8 @@ def exact_dedup(
     key = [F.octet_length("_norm").alias("_len"), F.xxhash64(F.substring("_norm", 1, prefix_chars)).alias("_prefix")]
 
     light = settled(docs.select(text.alias("_norm")).select(*key), "dedup-light")
-    lengths = light.groupBy("_len").count().where("count > 1").select("_len")
-    groups = light.join(lengths, "_len", "left_semi").groupBy("_len", "_prefix").count().where("count > 1")
+    lengths = settled(light.groupBy("_len").count().where("count > 1").select("_len"), "dedup-lengths")
+    groups = light.join(broadcast_below(lengths, broadcast_keys), "_len", "left_semi").groupBy("_len", "_prefix").count().where("count > 1")
     survivors = settled(groups.select("_len", "_prefix", F.lit(True).alias("_survives")), "dedup-survivors")
 
     hashed = (
@@ -58,6 +58,7 @@ def exact_dedup(
         .agg(F.min(order).alias("_head"), F.count("*").alias("_size"))
         .where("_size > 1")
     )
+    heads = settled(heads, "dedup-heads")  # a plain scan, so that AQE can split a large group's join
     # Rows without a full hash get a key of their own, so that they do not meet in one task.
     own = F.coalesce("_full", F.concat(F.lit("row "), F.col("_row").cast("string")))
     out = hashed.withColumn("_own", own).join(heads, (F.col("_own") == F.col("_hfull")) & (F.col("_len") == F.col("_hlen")), "left")
