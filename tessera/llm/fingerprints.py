@@ -79,6 +79,18 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = 64) -> float:
     return float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).sum() / len(both))
 
 
+def _below(cuts: list[int], column: str):
+    """How many of the ascending ``cuts`` are below a value, in two steps of about a root of their
+    number each; NULL for NULL."""
+    if not cuts:
+        return F.when(F.col(column).isNotNull(), F.lit(0))
+    step = max(1, int(len(cuts) ** 0.5))
+    every, coarse = (F.array(*[F.lit(c).cast("long") for c in x]) for x in (cuts, cuts[step - 1 :: step]))
+    count = lambda x: F.size(F.filter(x, lambda c: c < F.col(column)))
+    near = count(coarse) * step
+    return F.when(F.col(column).isNotNull(), near + count(F.slice(every, near + 1, step)))
+
+
 def with_next(docs: DataFrame, boundaries: int | None = None) -> DataFrame:
     """Rows dealt out so that each document meets the next one by descending id (after the
     last: the first): ``_part, doc_id, text, _own``, sorted by part and id descending.
@@ -92,9 +104,8 @@ def with_next(docs: DataFrame, boundaries: int | None = None) -> DataFrame:
     ids = settled(docs.select("doc_id", F.xxhash64(text_of()).alias("_hash")), "fingerprint-ids")
     cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000).alias("q")).first().q or []
     cuts = sorted(set(cuts))  # at most n - 1 numbers
-    array = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
     # The part of an id: how many cuts are below it; ranges are (cut, next cut]. Null ids come last.
-    part = F.coalesce(F.size(F.filter(array, lambda c: c < F.col("doc_id"))), F.lit(-1))
+    part = F.coalesce(_below(cuts, "doc_id"), F.lit(-1))
     order = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("_hash").alias("c"))
     firsts = ids.select(part.alias("_part"), order.alias("o")).groupBy("_part").agg(F.max("o").alias("o")).collect()  # a row for each range
     firsts = sorted(firsts, key=lambda r: -r._part)

@@ -70,3 +70,13 @@ def test_small_tables(spark):
     assert G.fingerprints_with_edit(one.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a b c", 1, "x"), (3, "q", 1, "x"), (3, "q", 1, "x"), (None, None, 1, "x")], schema)
     assert len(G.fingerprints_with_edit(odd).collect()) == 4
+
+
+def test_cuts(spark):
+    import bisect
+
+    ids = spark.createDataFrame([(i,) for i in range(-3, 60)] + [(None,)], "doc_id long")
+    for n in (0, 1, 2, 3, 7, 16, 23):
+        cuts = sorted({(7 * i) % 50 for i in range(n)})
+        rows = ids.select("doc_id", G._below(cuts, "doc_id").alias("n")).collect()
+        assert all(r.n == (None if r.doc_id is None else bisect.bisect_left(cuts, r.doc_id)) for r in rows)
