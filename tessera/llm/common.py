@@ -99,7 +99,16 @@ def shipped(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+#: Rows of an Arrow batch at most, so that neither side of the pipe holds many texts at once.
+ARROW_ROWS = 1000
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package."""
-    shipped(df.sparkSession)
+    """``mapInArrow`` whose workers can import this package; the session's batches are lowered to
+    ``ARROW_ROWS`` rows if they are larger."""
+    spark = df.sparkSession
+    shipped(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
     return df.mapInArrow(run, schema)

@@ -72,14 +72,20 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns and one row of each group of equal texts."""
-    digest = F.sha2(normalised(text_of()), 256)
-    found = settled(exact_dedup(docs, carry={"_t_sha": digest}), "dedup-result")
-    kept = found.where("kept").select(F.col("doc_id").alias("_t_id"), F.col("_t_sha").alias("_t_kept"))
-    own = docs.withColumn("_t_sha", digest)
-    out = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_t_id")) & (F.col("_t_sha") == F.col("_t_kept")), "left_semi")
-    repeated = found.groupBy("doc_id", "_t_sha").count().where("count > 1").limit(1).take(1)
-    return (out.dropDuplicates(["doc_id", "_t_sha"]) if repeated else out).drop("_t_sha")
+    """``docs`` with all its columns and one row of each group of equal texts.
+
+    The dropped ones are few and narrow (id, hash of the text): they are broadcast if counted to
+    be at most 200,000, so that the texts stay where they are; beyond that the join shuffles."""
+    key = F.xxhash64(normalised(text_of()))
+    found = settled(exact_dedup(docs, carry={"_t_key": key}), "dedup-result")
+    by_key = found.groupBy("doc_id", "_t_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    by_key = settled(by_key.where("not kept or n > 1"), "dedup-dropped")
+    dropped = by_key.where("not kept").select(F.col("doc_id").alias("_t_id"), F.col("_t_key").alias("_t_dropped"))
+    own = docs.withColumn("_t_key", key)
+    out = own.join(broadcast_below(dropped, 200_000), F.col("doc_id").eqNullSafe(F.col("_t_id")) & (F.col("_t_key") == F.col("_t_dropped")), "left_anti")
+    # Rows that repeat an id with its text are there only if the key says so.
+    repeated = by_key.where("kept").limit(1).take(1)
+    return (out.dropDuplicates(["doc_id", "_t_key"]) if repeated else out).drop("_t_key")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

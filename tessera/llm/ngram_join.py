@@ -45,7 +45,7 @@ class Shingler:
     parts. A text of fewer than n words has the whole of itself as its one n-gram, one without
     words none."""
 
-    def __init__(self, forest: Forest, max_cached: int = 400_000):
+    def __init__(self, forest: Forest, max_cached: int = 200_000):
         rng = np.random.default_rng(forest.seed)
         self.forest, self.max_cached = forest, max_cached
         self.cache: dict[bytes, int] = {}
@@ -169,7 +169,8 @@ def components(edges: DataFrame) -> DataFrame:
     def star(sym: DataFrame, large: bool) -> DataFrame:
         near = sym if large else sym.where("v < u")
         least = near.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m")).select("_u", F.least("m", "_u").alias("m"))
-        met = near.join(least, F.col("u") == F.col("_u"))
+        # Both sides of the join are plain scans, so that AQE can split the rows of a large hub.
+        met = near.join(settled(least, "least"), F.col("u") == F.col("_u"))
         if large:
             return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).distinct()
@@ -300,8 +301,9 @@ def ngram_join(docs: DataFrame, forest: Forest | None = None, block: int = 1024,
     roots = components(found.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     info = classes.select("k1", "k2", "rep", "size").join(counts, F.col("k1") == F.col("_cid"), "left").join(roots, F.col("k1") == F.col("u"), "left")
     info = settled(info.select("k1", "k2", "rep", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("root", "k1").alias("root")), "join-info")
-    groups = info.groupBy("root").agg(F.min("rep").alias("head"), F.count("*").alias("texts")).where("texts > 1")
+    groups = settled(info.groupBy("root").agg(F.min("rep").alias("head"), F.count("*").alias("texts")).where("texts > 1"), "join-groups")
     info = info.join(groups, "root", "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("head", "rep").alias("head"), "rep", "size", "links", "docs")
+    info = settled(info, "join-result")
     out = signed.select("doc_id", "k1", "k2", "text_hash").join(info, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     return out.select("doc_id", F.col("head.id").alias("class_id"), F.col("rep.id").alias("copy_of"), (F.col("size") - 1).alias("n_copies"), F.col("links").alias("n_links"), F.col("docs").alias("n_linked_docs"), *["text_hash"] * with_hash)
 

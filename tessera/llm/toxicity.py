@@ -53,7 +53,7 @@ def hashed_terms(word: str, bits: int) -> tuple[int, ...]:
 class Terms:
     """Distinct words of texts, and their terms from a bounded cache."""
 
-    def __init__(self, bits: int, known: np.ndarray | None = None, max_cached: int = 300_000):
+    def __init__(self, bits: int, known: np.ndarray | None = None, max_cached: int = 200_000):
         self.bits, self.max_cached = bits, max_cached
         self.at = None if known is None else {int(t): i for i, t in enumerate(known)}
         self.cache: dict[str, tuple[int, ...]] = {}
