@@ -60,23 +60,52 @@ def _fold(x: np.ndarray) -> int:
     return out
 
 
-def sketch(text: str, size: int = 64, k: int = 16, s: int = 8) -> np.ndarray:
-    """The ``size`` least distinct anchor hashes (32 bits), ascending."""
-    found = np.unique((anchors(text, k, s)[1] >> np.uint64(32)).astype(np.uint32))
-    return found[:size]
+#: An anchor of a fingerprint, 12 bytes.
+ANCHOR = np.dtype([("hash", "<u8"), ("at", "<u4")])
+
+
+def sketch(text: str, k: int = 16, s: int = 8) -> np.ndarray:
+    """All anchors of the text (``ANCHOR``), ascending by hash and position."""
+    at, hashes = anchors(text, k, s)
+    order = np.argsort(hashes, kind="stable")  # positions ascend as they come
+    out = np.empty(len(at), ANCHOR)
+    out["hash"], out["at"] = hashes[order], at[order]
+    return out
 
 
 def spelled(found: np.ndarray) -> str:
-    return base64.b64encode(found.astype("<u4").tobytes()).decode()
+    return base64.b64encode(found.tobytes()).decode()
+
+
+def unspelled(fingerprint: str) -> np.ndarray:
+    return np.frombuffer(base64.b64decode(fingerprint), ANCHOR)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = 64) -> float:
-    """Jaccard index of the anchor sets, estimated over the least hashes of both (exact if they
-    have no more than ``size``); two empty texts are alike."""
-    both = np.union1d(a, b)[:size]
-    if not len(both):
+def _distinct(found: np.ndarray) -> np.ndarray:
+    h = found["hash"]
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard index of the sets of all distinct anchor hashes; two empty texts are alike."""
+    a, b = _distinct(a), _distinct(b)
+    if not len(a) + len(b):
         return 1.0
-    return float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).sum() / len(both))
+    both = np.sort(np.concatenate([a, b]), kind="stable")  # merges the two runs
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common)
+
+
+def matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where two texts meet: a row (position in a, position in b) for each anchor that occurs once
+    in each, ascending; along a shared passage the difference of the two stays the same."""
+    once = []
+    for found in (a, b):
+        _, first, counts = np.unique(found["hash"], return_index=True, return_counts=True)
+        once.append(found[first[counts == 1]])
+    _, i, j = np.intersect1d(once[0]["hash"], once[1]["hash"], assume_unique=True, return_indices=True)
+    out = np.stack([once[0]["at"][i], once[1]["at"][j]], axis=1).astype(np.int64)
+    return out[np.argsort(out[:, 0], kind="stable")]
 
 
 def _below(cuts: list[int], column: str):
@@ -123,13 +152,14 @@ def with_next(docs: DataFrame, boundaries: int | None = None) -> DataFrame:
     return both.repartition(n, "_part").sortWithinPartitions(F.col("_part").desc(), F.col("_own").desc(), F.col("doc_id").desc_nulls_last(), F.col("_hash").desc())
 
 
-def fingerprints_with_edit(docs: DataFrame, size: int = 64, k: int = 16, s: int = 8) -> DataFrame:
+def fingerprints_with_edit(docs: DataFrame, k: int = 16, s: int = 8) -> DataFrame:
     """Per row: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next``; the edited text has its last floor(n/2) code points replaced by the first as
     many (or all) of the next document's.
 
-    A fingerprint is the base64 of the ``size`` least 32-bit hashes of the text's closed
-    syncmers. Defined results: null text is empty, its fingerprint the empty string, alike to
+    A fingerprint is the base64 of all closed syncmers of the text, each with its 64-bit hash and
+    its position (``ANCHOR``), whatever the text's length; ``near_edited`` and ``near_next`` are
+    exact Jaccard indices of the whole sets of hashes. Defined results: null text is empty, its fingerprint the empty string, alike to
     another empty one (1.0); rows with equal ids follow each other by the hash of their text; null
     ids come after all others; a single row is its own next; an empty table gives no rows.
     """
@@ -144,15 +174,15 @@ def fingerprints_with_edit(docs: DataFrame, size: int = 64, k: int = 16, s: int
             part, doc_id, text, found = one
             half = len(text) // 2
             edited = text[: len(text) - half] + following[2][:half]
-            other = sketch(edited, size, k, s)
-            return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), spelled(found), spelled(other), likeness(found, other, size), likeness(found, following[3], size)
+            other = sketch(edited, k, s)
+            return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), spelled(found), spelled(other), likeness(found, other), likeness(found, following[3])
 
         kind = None
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=1 << 20):  # the anchors are several times the text
             kind, out = batch.column("doc_id").type, []
             for part, doc_id, text, own in zip(*(batch.column(c).to_pylist() for c in ("_part", "doc_id", "text", "_own"))):
                 text = text or ""
-                one = (part, doc_id, text, sketch(text, size, k, s))
+                one = (part, doc_id, text, sketch(text, k, s))
                 if held is not None and held[0] == part:
                     out.append(row(held, one))
                 held = one if own else None

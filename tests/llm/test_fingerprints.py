@@ -39,6 +39,41 @@ def test_context_free():
     assert G.likeness(G.sketch(""), G.sketch(a)) == 0.0 and G.likeness(G.sketch("ab"), G.sketch("ba")) == 0.0
 
 
+def kmers(text):
+    return {text[i : i + 16] for i in G.anchors(text)[0].tolist()}
+
+
+def long_pair():
+    rng = np.random.default_rng(5)
+    own = lambda n: "".join(rng.choice(list("abcdefgh ijkl"), n))
+    passage = own(20000)
+    return own(30000) + passage + own(1000), own(700) + passage + own(45000), passage
+
+
+def test_long_texts_keep_all_anchors():
+    a, b, passage = long_pair()
+    x, y = G.sketch(a), G.sketch(b)
+    assert len(x) == len(G.anchors(a)[0]) > 10000 and sorted(x["at"].tolist()) == G.anchors(a)[0].tolist()
+    assert G.likeness(x, y) == len(kmers(a) & kmers(b)) / len(kmers(a) | kmers(b))
+    assert (G.unspelled(G.spelled(x)) == x).all()
+    met = G.matched(G.unspelled(G.spelled(x)), y)
+    along = met[met[:, 1] - met[:, 0] == 700 - 30000]
+    inside = {i + 30000 for i in G.anchors(passage)[0].tolist()}
+    assert inside <= set(along[:, 0].tolist()) and len(along) > 4000
+    assert all(a[i : i + 16] == b[j : j + 16] for i, j in met.tolist())
+
+
+def test_long_documents(spark):
+    a, b, _ = long_pair()
+    rows = {r.doc_id: r for r in G.fingerprints_with_edit(spark.createDataFrame([(2, a), (1, b)], "doc_id long, text string")).collect()}
+    half = len(a) // 2
+    edited = a[: len(a) - half] + b[:half]
+    share = lambda x, y: len(kmers(x) & kmers(y)) / len(kmers(x) | kmers(y))
+    assert rows[2].near_next == rows[1].near_next == share(a, b) and rows[2].near_edited == share(a, edited)
+    for fingerprint, text in ((rows[2].fingerprint, a), (rows[2].edited_fingerprint, edited)):
+        assert {text[i : i + 16] for i in G.unspelled(fingerprint)["at"].tolist()} == kmers(text)
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: r[0], reverse=True)
     out = {}
