@@ -1,4 +1,4 @@
-"""Jaccard join over word n-grams: a MinHash LSH forest for the candidates, exact verification."""
+"""Jaccard join over word n-grams: MinHash LSH bands for the candidates, exact verification."""
 
 from __future__ import annotations
 
@@ -14,12 +14,13 @@ from .fingerprints import _mix
 
 @dataclass(frozen=True)
 class Forest:
-    """``trees`` tries of signatures of at most ``depth`` MinHash values each.
+    """``trees`` bands of ``prefix`` MinHash values each, fixed before any text is read.
 
-    Two texts of similarity s share a prefix of length d in one tree with probability s^d, in
-    any tree with 1 - (1 - s^d)^trees. Matching starts from the whole signature and shortens
-    the prefix until a pair at the threshold itself, the hardest to find, is met with the
-    target recall; pairs above it are met more surely still.
+    Two texts of similarity s share a band of length d with probability s^d, any of them with
+    1 - (1 - s^d)^trees. ``prefix`` is the greatest d, ``depth`` at most, at which a pair at the
+    threshold itself, the hardest to find, is met with the target recall; pairs above it are met
+    more surely still. A trie that descends from ``depth`` values would have to reach the same d
+    for every text to keep this, and end at the same pairs; so only ``prefix`` values are made.
     """
 
     n: int = 5
@@ -201,7 +202,7 @@ def ngram_join(docs: DataFrame, forest: Forest | None = None, block: int = 1024,
     it; ``n_linked_docs``, their documents.
 
     Plan. Texts with equal words collapse to one representative, so that copies cost no pairs.
-    Representatives go to the nodes of the forest (equal prefixes, one for each tree); nodes of
+    Representatives go to the nodes of the forest (equal bands, one for each tree); nodes of
     one member, and those with the members of an earlier tree's node, are dropped by a partial
     aggregation. Only members of the rest have their n-grams made, and each node is verified
     exactly within one task; nodes of over ``block`` members are cut into blocks and every two

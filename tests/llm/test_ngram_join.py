@@ -85,6 +85,20 @@ def test_prefix_shortens_to_the_target():
     assert J.Forest(target_recall=0.9).prefix > f.prefix
 
 
+def test_bands_meet_pairs_at_the_threshold():
+    f, rng, pairs = J.Forest(), np.random.default_rng(2), 3000
+    shingler = J.Shingler(f)
+    assert len(shingler.a) == f.trees * f.prefix == 100
+    draw = lambda n: rng.integers(0, 2**63, n, np.int64).astype(np.uint64)
+    sets = []
+    for _ in range(pairs):  # 80 of 100 in common
+        common, rest = draw(80), draw(20)
+        sets += [np.concatenate([common, rest[:10]]), np.concatenate([common, rest[10:]])]
+    keys = shingler.node_keys(np.concatenate(sets), np.full(2 * pairs, 90))
+    missed = (~(keys[::2] == keys[1::2]).any(axis=1)).sum()
+    assert missed <= 6  # about 1 by the formula; 7 at a prefix of 6
+
+
 def test_exact_links():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
