@@ -56,7 +56,6 @@ class Coder:
         self.pattern = regex.compile(pattern)
         self.max_cached = max_cached
         self.known: dict[str, bytes] = {}  # ids of a chunk
-        self.other: dict[str, bytes] = {}  # its decoded bytes, where they are not the chunk's own
         get = self.ranks.get
         merges = [(l << 32 | r, m) for t, m in self.ranks.items() for i in range(1, len(t)) if (l := get(t[:i])) is not None and (r := get(t[i:])) is not None]
         db = self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -147,33 +146,24 @@ class Coder:
         return [first] * bool(first) + [" " + c for c in rest]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian unsigned 32-bit) and decoded bytes of each text."""
+        """Ids (little-endian unsigned 32-bit) of each text, and the bytes that these ids decode to."""
         split = [self._chunks(t) for t in texts]
         fresh = {c for chunks in split for c in chunks}
         if len(self.known) + len(fresh - self.known.keys()) > self.max_cached:
             self.known.clear()
-            self.other.clear()
         fresh -= self.known.keys()
-        known, other = self.known, self.other
+        known = self.known
         matches = {c: self.pattern.findall(c) for c in fresh}
         words = list({w for found in matches.values() for w in found} - known.keys())
         for i in range(0, len(words), 40_000):
             part = words[i : i + 40_000]
-            given = [w.encode() for w in part]
-            for w, own, (ids, decoded) in zip(part, given, self._contract(given)):
+            for w, (ids, _) in zip(part, self._contract([w.encode() for w in part])):
                 known[w] = ids
-                if decoded != own:
-                    other[w] = decoded
         for c, found in matches.items():
             if len(found) != 1:
                 known[c] = b"".join([known[w] for w in found])
-                if other and not other.keys().isdisjoint(found):
-                    other[c] = b"".join([other.get(w) or w.encode() for w in found])
-        out = []
-        for text, chunks in zip(texts, split):
-            same = not other or other.keys().isdisjoint(chunks)
-            out.append((b"".join([known[c] for c in chunks]), text.encode() if same else b"".join([other.get(c) or c.encode() for c in chunks])))
-        return out
+        out = [b"".join([known[c] for c in chunks]) for chunks in split]
+        return list(zip(out, self.decode(out)))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Decoded bytes of each array of little-endian unsigned 32-bit ids."""

@@ -44,6 +44,15 @@ def test_cache_may_be_emptied(sf_dir):
         check(texts[i : i + 20], small)
 
 
+def test_decoded_comes_from_the_ids():
+    c, text = B.Coder(PATH, PATTERN), "one two three"
+    c.encode([text, ""])
+    for ids in (c.known[" three"], b""):  # a chunk's ids misplaced, then lost
+        c.known[" two"] = ids
+        (found, decoded), empty = c.encode([text, ""])
+        assert decoded == LIBRARY.decode_bytes(np.frombuffer(found, "<u4").tolist()) != text.encode() and empty == (b"", b"")
+
+
 def test_long_words_follow_the_same_rule():
     rng = np.random.default_rng(3)
     for n in (2, 9, 60, 300):
