@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and its master is local (tests on one machine) a temporary
+    folder is set; on a cluster the machines would not share it.
     """
     sc = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
@@ -32,7 +36,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage on storage that outlives executors; unlike ``checkpoint()`` it is
-    compressed and columnar. The table goes when the application ends.
+    compressed and columnar. The table goes with ``discard``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
@@ -40,7 +44,26 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``settled`` wrote, once nothing reads them any more."""
+    for df in tables:
+        if path := getattr(df, "_settled_path", None):
+            spark = df.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_prefix(*frames: DataFrame) -> str:
+    """A prefix that no column of ``frames`` has, for columns beside those of the user."""
+    taken, prefix = [c.lower() for df in frames for c in df.columns], "_t"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
 
 
 def partitions(spark: SparkSession) -> int:

@@ -9,7 +9,7 @@ from .line_dedup import ORACLE_OP8, op8_line_dedup
 from .ngram_join import op1_ngram_join
 from .packing import op2_kk_packing
 from .quality import op5_quality_gam
-from .secrets import op10_secret_scan
+from .secrets import ORACLE_OP10, op10_secret_scan
 from .token_counts import op7_token_counts
 from .toxicity import op3_toxicity_fm
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 #: Where SQL can express the result; the others are tested against brute force in tests/llm.
-ORACLE_SQL = {"op4_exact_dedup": ORACLE_OP4, "op8_line_dedup": ORACLE_OP8}
+ORACLE_SQL = {"op4_exact_dedup": ORACLE_OP4, "op8_line_dedup": ORACLE_OP8, "op10_secret_scan": ORACLE_OP10}

@@ -1,7 +1,11 @@
 """The native scan against a plain Python one."""
 
 import math
+import random
 import re
+import time
+
+import pytest
 
 from tessera.llm import secrets as S
 
@@ -64,6 +68,53 @@ def test_scan_and_redaction(spark):
     assert S.find_secrets(docs.limit(0)).count() == 0
 
 
+def plain(text, spans):
+    parts, at = [], 0
+    for s, _, e, _ in spans:
+        if s >= at:
+            parts += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    return "".join(parts) + text[at:]
+
+
+def test_very_long_texts(spark):
+    """Slugs, paths and runs of 10^6 characters (a stack frame for each part would end the JVM), and
+    tens of thousands of hits in one text, in time that grows with the length."""
+    begin = time.time()
+    texts = [unit * (10**6 // len(unit)) for unit in ("a1-", "ab-", "ab12/", "0-", "=")] + ["f0" * 500_000]
+    many = "token=Zx81Qm0aLp93Vn2Rt7Ky é " * 40_000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, many])], "doc_id long, text string")
+    rows = S.find_secrets(docs).selectExpr("size(_base) as b", "size(_spans) as n").collect()
+    assert [(r.b, r.n) for r in rows] == [(0, 0)] * 5 + [(1, 1), (40_000, 80_000)]
+    red = [r.text for r in S.redact(docs).collect()]
+    assert red == texts[:5] + ["[SECRET]", "[SECRET] é " * 40_000]
+    assert time.time() - begin < 120
+
+
+def test_blocks_of_a_long_candidate(spark):
+    rng = random.Random(3)
+    texts = ["é " + "".join(rng.choice("ABCDEFabcdef0123456789/+") for _ in range(n)) + " " + "0a" * n + "9f8e7d6c5b4a3120" * (n // 16) for n in (20, 21, S.BLOCK - 1, S.BLOCK, S.BLOCK + 18, S.BLOCK + 19, S.BLOCK + 20, 2 * S.BLOCK + 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row, text, red in zip(S.find_secrets(docs).collect(), texts, S.redact(docs).collect()):
+        base, spans = brute(text)
+        assert [tuple(x) for x in row["_base"]] == base and [tuple(x) for x in row["_spans"]] == spans
+        assert red.text == plain(text, spans)
+
+
+def test_clashing_names(spark):
+    """Columns named like inner ones keep their values; those of the result's names are refused."""
+    names = ["_text", "_hits", "_t", "_ttext", "_t_text", "_tspans", "_Tdata", "text_", "_red", "kind", "s"]
+    docs = spark.createDataFrame([(1, "secret: Zx81Qm0aLp93Vn2Rt7Ky!", *names)], ["doc_id", "text", *names])
+    row = S.redact(docs).first()
+    assert row.text == "[SECRET]!" and [row[c] for c in names] == names
+    row = S.find_secrets(docs).first()
+    assert len(row["_base"]) == 1 and [row[c] for c in names] == names
+    row = S.redact(docs.withColumns({"_base": docs.kind, "_spans": docs.s})).first()
+    assert (row["_base"], row["_spans"]) == ("kind", "s")
+    with pytest.raises(ValueError):
+        S.find_secrets(docs.withColumn("_Spans", docs.s))
+
+
 def test_documents(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     for row in S.find_secrets(rows).collect():
