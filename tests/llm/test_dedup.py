@@ -32,18 +32,36 @@ def brute(rows):
 
 
 def test_exact_dedup(spark):
-    from pyspark.sql import functions as F
-
     want, texts = brute(ODD)
     for options in ({}, {"broadcast_keys": 0, "prefix_chars": 3}):
-        rows = E.exact_dedup(frame(spark, ODD), carry={"s": F.sha2(E.normalised(E.text_of()), 256)}, **options).collect()
-        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.s) for r in rows), key=str) == want
+        rows = E.exact_dedup(frame(spark, ODD), with_sha256=True, **options).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows), key=str) == want
+        assert sum(r.kept for r in rows) == texts and all(r.doc_id == r.keep_id for r in rows if r.kept)
+        # The same with a full hash of the survivors only.
+        rows = E.exact_dedup(frame(spark, ODD), **options).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in rows), key=str) == sorted((w[:3] for w in want), key=str)
         assert sum(r.kept for r in rows) == texts and all(r.doc_id == r.keep_id for r in rows if r.kept)
     kept = E.keep_first(frame(spark, ODD)).collect()
     assert len(kept) == texts and all(r.keep_id == "x" for r in kept)
     assert E.exact_dedup(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_one_normalising_scan(spark):
+    """With the digest of every text asked for, the texts are read once; without, no more than the
+    survivors are normalised a second time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = E.exact_dedup(docs, with_sha256=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "text#" not in plan.replace("text_sha256#", "")
+
+
+def test_clashing_names(spark):
+    names = ["_t_id", "_t_dropped", "_t_key", "_tid", "_tkey", "len", "prefix", "raw", "norm", "row", "full", "id", "size"]
+    docs = spark.createDataFrame([(i, t, *names) for i, t in ((2, "a b"), (1, "a  b"), (1, "a b"), (1, "a b"))], ["doc_id", "text", *names])
+    kept = E.keep_first(docs).collect()
+    assert [(r.doc_id, *[r[n] for n in names]) for r in kept] == [(1, *names)] and kept[0].asDict().keys() == set(docs.columns)
+
+
+
 def brute_lines(rows):
     strip = " \t\n\x0b\x0c\r"
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(strip))
@@ -66,7 +84,7 @@ def test_line_dedup(spark):
     rows += [(2000, None), (2001, ""), (2002, "\n\n"), (2003, "A shared line.\n" * 20000 + "end of the text"), (None, "A shared line.\nnobody's own line"), (None, "nobody's own line"), (2004, "end of the text"), (2004, "end of the text"), (2004, "other text of it\nA shared line.")]
     df = frame(spark, rows)
     want = brute_lines(rows)
-    for options in ({}, {"hot_share": -1.0}):
+    for options in ({}, {"hot": 1}):
         got = L.apply_bitmaps(df, L.line_keep_bitmaps(df, **options)).collect()
         assert sorted(map(tuple, got), key=str) == want
     many = frame(spark, [(i, "the very same line\nline number %d of all" % i) for i in range(3000)])  # a hot key
