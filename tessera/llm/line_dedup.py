@@ -16,7 +16,7 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, upper, upper.lower()))
 
 
-def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, hot_keys: int = 256, hot_share: float = 0.001) -> DataFrame:
+def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, per_range: int = 64, hot: int = 16) -> DataFrame:
     """Keep bitmaps of the documents that lose lines: ``doc_id, text_hash, keep_runs``.
 
     ``keep_runs`` is the run-length compressed bitmap of a document's lines: pairs (keep, drop),
@@ -25,14 +25,16 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     an id with another text; rows that repeat both share one bitmap.
 
     A line's key is two independent 64-bit hashes. Keys are range-partitioned and sorted by
-    document and position, and a window streams the first document of each. A key that may hold
-    over ``hot_share`` of all lines would fill one task: such keys (at most ``hot_keys``, found
-    by the mergeable ``approx_top_k`` sketch, which decides the route and never the result) are
-    aggregated to their smallest document instead, one row a map task, and broadcast: their
-    number is bounded by ``hot_keys`` times the keys that share the first hash.
+    document and position, and a window streams the first document of each. A key that holds about
+    a quarter of a range's lines or more would make its task long: such keys take another
+    way, the aggregation of their smallest document, one row a map task. They are those found ``hot``
+    times in a sample of ``per_range`` lines for each range, which decides the way of a line
+    and never the result: both ways drop the same lines. There are at most ``per_range / hot`` of
+    them for each range, whatever the number of lines, and so many rows are broadcast.
 
     Defined results: null or empty text is one empty line; a null id counts as one document
-    that is larger than all others; an empty table gives no bitmaps.
+    that is larger than all others; an empty table gives no bitmaps; other columns, whatever their
+    names, are ignored.
     """
     spark = docs.sparkSession
     text = text_of(text_col)
@@ -40,24 +42,26 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("_key")).where(F.char_length("_key") >= min_chars)
     keyed = settled(keyed.select("doc_id", "text_hash", "pos", F.xxhash64("_key").alias("k1"), F.xxhash64(F.lit("line"), "_key").alias("k2")), "lines")
 
-    top = keyed.agg(F.expr(f"approx_top_k(k1, {hot_keys})").alias("top"), F.count("*").alias("n")).selectExpr(f"transform(filter(top, x -> x.count > greatest(1000, {hot_share} * n)), x -> x.item) as hot")
-    hot = [k for row in top.take(1) for k in row.hot or []]  # at most hot_keys numbers
-    is_hot = F.col("k1").isin(hot) if hot else F.lit(False)
+    ranges = partitions(spark)
+    share = min(1.0, per_range * ranges / max(1, keyed.count()))
+    often = keyed.select("k1").sample(share, seed=7).groupBy("k1").count().where(F.col("count") >= hot).select("k1")
+    often = settled(often, "line-hot")
+    some = bool(often.take(1))
 
     by = Window.partitionBy("k1", "k2").orderBy(F.col("doc_id").asc_nulls_last(), "pos")
-    cold = (
-        keyed.where(~is_hot)
-        .repartitionByRange(partitions(spark), "k1", "k2")
+    drops = (
+        (keyed.join(F.broadcast(often), "k1", "left_anti") if some else keyed)
+        .repartitionByRange(ranges, "k1", "k2")
         .sortWithinPartitions("k1", "k2", F.col("doc_id").asc_nulls_last(), "pos")
         .withColumn("_first", F.first("doc_id").over(by))
         .where(~F.col("doc_id").eqNullSafe(F.col("_first")))
         .select("doc_id", "text_hash", "pos")
     )
-    drops = cold
-    if hot:
-        heads = keyed.where(is_hot).groupBy("k1", "k2").agg(F.min("doc_id").alias("_first"))
-        late = keyed.where(is_hot).join(F.broadcast(heads), ["k1", "k2"])
-        drops = cold.unionByName(late.where(~F.col("doc_id").eqNullSafe(F.col("_first"))).select("doc_id", "text_hash", "pos"))
+    if some:
+        late = keyed.join(F.broadcast(often), "k1", "left_semi")
+        heads = settled(late.groupBy("k1", "k2").agg(F.min("doc_id").alias("_first")), "line-heads")
+        late = late.join(F.broadcast(heads), ["k1", "k2"])
+        drops = drops.unionByName(late.where(~F.col("doc_id").eqNullSafe(F.col("_first"))).select("doc_id", "text_hash", "pos"))
 
     per_doc = Window.partitionBy("doc_id", "text_hash").orderBy("pos")
     runs = (
@@ -78,7 +82,11 @@ def kept_lines(lines: str, runs: str) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Per document: ``doc_id, n_lines, n_dropped, kept_text``."""
+    """Per row of ``docs``: ``doc_id, n_lines, n_dropped, kept_text``.
+
+    Defined results: null text is empty, one empty line; a row without a bitmap keeps all its lines
+    (so does every row if there are no bitmaps); rows that repeat an id and a text take the same
+    bitmap, a null id that of null; an empty table gives no rows; other columns are ignored."""
     own = docs.select("doc_id", text_of().alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     maps = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "keep_runs")
     met = own.join(maps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left")
@@ -90,6 +98,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Line dedup of all ``documents``; nulls, empty texts, repeated rows and an empty table as in
+    ``line_keep_bitmaps`` and ``apply_bitmaps``."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
