@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, settled, slices, text_of
+from .common import arrow_map, discard, partitions, settled, slices, text_of
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -108,48 +108,80 @@ def matched(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out[np.argsort(out[:, 0], kind="stable")]
 
 
-def _below(cuts: list[int], column: str):
+def _occurrences(found: np.ndarray) -> np.ndarray:
+    """Hashes by which the second, third ... anchor of an equal hash differs from the first."""
+    h = found["hash"]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    at = np.arange(len(h))
+    return h + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * _A
+
+
+def positional(a: np.ndarray, b: np.ndarray) -> float:
+    """How much of two texts' anchors meet in passages that keep their order: 0 to 1.
+
+    The n-th anchor of a hash in one text is matched with the n-th of that hash in the other. A
+    match counts if the one before or after it (by position in ``a``) lies as far ahead in ``b``:
+    a passage that both share, moved or not, keeps these differences, words that recur by chance do
+    not. The likeness is the matches that count over all anchors, matched ones once; a text with a
+    single anchor has it count by itself; two empty texts are alike (1.0)."""
+    if not len(a) + len(b):
+        return 1.0
+    if not len(a) or not len(b):
+        return 0.0
+    _, i, j = np.intersect1d(_occurrences(a), _occurrences(b), assume_unique=True, return_indices=True)
+    x, y = a["at"][i].astype(np.int64), b["at"][j].astype(np.int64)
+    order = np.argsort(x)
+    ahead = (y - x)[order]
+    along = ahead[1:] == ahead[:-1]
+    counts = np.zeros(len(ahead), bool)
+    counts[1:] |= along
+    counts[:-1] |= along
+    n = len(ahead) if min(len(a), len(b)) == 1 else int(counts.sum())
+    return n / (len(a) + len(b) - n)
+
+
+def _below(cuts: list, column):
     """How many of the ascending ``cuts`` are below a value, in two steps of about a root of their
-    number each; NULL for NULL."""
+    number each. Cuts and column are structs; a null in them is less than any value."""
     if not cuts:
-        return F.when(F.col(column).isNotNull(), F.lit(0))
+        return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
-    every, coarse = (F.array(*[F.lit(c).cast("long") for c in x]) for x in (cuts, cuts[step - 1 :: step]))
-    count = lambda x: F.size(F.filter(x, lambda c: c < F.col(column)))
+    every, coarse = F.array(*cuts), F.array(*cuts[step - 1 :: step])
+    count = lambda x: F.size(F.filter(x, lambda c: c < column))
     near = count(coarse) * step
-    return F.when(F.col(column).isNotNull(), near + count(F.slice(every, near + 1, step)))
+    return near + count(F.slice(every, near + 1, step))
 
 
-def with_next(docs: DataFrame, boundaries: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Rows dealt out so that each document meets the next one by descending id (after the
     last: the first): ``_part, doc_id, text, _own``, sorted by part and id descending.
 
-    The ids are cut into ranges at quantiles of the ids themselves (their number is the number
-    of shuffle partitions). Each range gets, besides its own documents, the largest document of
-    the next lower one, with ``_own`` false. So the texts move once and no task holds more than
-    a range; a text is sorted on disk if need be.
+    Ids and hashes of the texts are cut into ranges (as many as there are shuffle partitions), so
+    that ids of any type will do, and the texts of one repeated id, or of none, are cut as well.
+    Each range goes to a task of its own and gets, besides its own documents, the largest document
+    of the next lower one, with ``_own`` false. So the texts move once and no task holds more than
+    a range; a text is sorted on disk if need be. Rows that repeat an id with its text are in one
+    range. What comes to the driver is a row for each range.
     """
-    n = boundaries or partitions(docs.sparkSession)
+    n = ranges or partitions(docs.sparkSession)
+    order = lambda: F.struct(F.col("doc_id").alias("a"), F.col("_hash").alias("b"))
     ids = settled(docs.select("doc_id", F.xxhash64(text_of()).alias("_hash")), "fingerprint-ids")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000).alias("q")).first().q or []
-    cuts = sorted(set(cuts))  # at most n - 1 numbers
-    # The part of an id: how many cuts are below it; ranges are (cut, next cut]. Null ids come last.
-    part = F.coalesce(_below(cuts, "doc_id"), F.lit(-1))
-    order = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("_hash").alias("c"))
-    firsts = ids.select(part.alias("_part"), order.alias("o")).groupBy("_part").agg(F.max("o").alias("o")).collect()  # a row for each range
-    firsts = sorted(firsts, key=lambda r: -r._part)
-    spec = []  # (range that gets it, id, hash, wraps)
-    for i, r in enumerate(firsts):
-        head = firsts[(i + 1) % len(firsts)]
-        spec.append((r._part, head.o.b, head.o.c))
-    rows = docs.select(F.col("doc_id"), F.col("text")).withColumn("_hash", F.xxhash64(text_of())).withColumn("_part", part)
-    if not spec:
+    cut = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "_hash").groupBy(F.spark_partition_id().alias("p"))
+    ends = cut.agg(F.max(order()).alias("most")).orderBy("most").collect()  # a row for each range
+    discard(ids)
+    kind = dict(docs.dtypes)["doc_id"]
+    struct = [F.struct(F.lit(r.most.a).cast(kind).alias("a"), F.lit(r.most.b).cast("long").alias("b")) for r in ends]
+    # The part of a row: how many ranges end below it.
+    rows = docs.select("doc_id", "text", F.xxhash64(text_of()).alias("_hash")).withColumn("_part", _below(struct[:-1], order()))
+    if not ends:
         return rows.select("_part", "doc_id", "text", "_hash", F.lit(True).alias("_own"))
-    heads = docs.sparkSession.createDataFrame(spec, "_to int, _id long, _h long")
-    extra = rows.drop("_part").join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+    # Each range's largest document also goes to the range above it, the highest one's to the lowest.
+    spec = F.array(*[F.struct(F.lit((i + 1) % len(ends)).alias("_to"), s.alias("most")) for i, s in enumerate(struct)])
+    heads = docs.sparkSession.range(1).select(F.inline(spec))
+    extra = rows.drop("_part").join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("most.a")) & (F.col("_hash") == F.col("most.b")))
     extra = extra.dropDuplicates(["_to"]).select(F.col("_to").alias("_part"), "doc_id", "text", "_hash", F.lit(False).alias("_own"))
     both = rows.withColumn("_own", F.lit(True)).select("_part", "doc_id", "text", "_hash", "_own").unionByName(extra)
-    return both.repartition(n, "_part").sortWithinPartitions(F.col("_part").desc(), F.col("_own").desc(), F.col("doc_id").desc_nulls_last(), F.col("_hash").desc())
+    return both.repartitionById(len(ends), "_part").sortWithinPartitions(F.col("_own").desc(), F.col("doc_id").desc_nulls_last(), F.col("_hash").desc())
 
 
 def fingerprints_with_edit(docs: DataFrame, k: int = 16, s: int = 8) -> DataFrame:
@@ -158,10 +190,13 @@ def fingerprints_with_edit(docs: DataFrame, k: int = 16, s: int = 8) -> DataFram
     many (or all) of the next document's.
 
     A fingerprint is the base64 of all closed syncmers of the text, each with its 64-bit hash and
-    its position (``ANCHOR``), whatever the text's length; ``near_edited`` and ``near_next`` are
-    exact Jaccard indices of the whole sets of hashes. Defined results: null text is empty, its fingerprint the empty string, alike to
-    another empty one (1.0); rows with equal ids follow each other by the hash of their text; null
-    ids come after all others; a single row is its own next; an empty table gives no rows.
+    its position (``ANCHOR``), whatever the text's length; ``near_edited`` and ``near_next`` match
+    the anchors of two texts by position (``positional``).
+
+    Defined results: null text is empty, its fingerprint the empty string, alike to another empty
+    one (1.0); ids of any type that can be ordered; rows with equal ids follow each other by the hash
+    of their text; null ids come after all others; a single row is its own next; an empty table
+    gives no rows; other columns, whatever their names, are ignored.
     """
     import hashlib
 
@@ -175,7 +210,7 @@ def fingerprints_with_edit(docs: DataFrame, k: int = 16, s: int = 8) -> DataFram
             half = len(text) // 2
             edited = text[: len(text) - half] + following[2][:half]
             other = sketch(edited, k, s)
-            return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), spelled(found), spelled(other), likeness(found, other), likeness(found, following[3])
+            return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), spelled(found), spelled(other), positional(found, other), positional(found, following[3])
 
         kind = None
         for batch in slices(batches, max_bytes=1 << 20):  # the anchors are several times the text
@@ -196,6 +231,8 @@ def fingerprints_with_edit(docs: DataFrame, k: int = 16, s: int = 8) -> DataFram
 
 
 def op9_syncmer_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """``fingerprints_with_edit`` of all ``documents``; nulls, empty texts, ties, repeated rows and an
+    empty table as there."""
     from .common import table
 
     return fingerprints_with_edit(table(spark, sf_dir, "documents"))
