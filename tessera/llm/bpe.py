@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, texts_of
+from .common import Recent, arrow_map, slices, texts_of
 
 #: Token-position rows (w: word, p: position, id, nx: the next row's id) meet the merge table; of
 #: each word the pair of least rank, the leftmost of equals, becomes one token, until no word has a
@@ -33,13 +33,13 @@ WITH RECURSIVE state(i, w, p, id, nx) AS (
 IDS = ENCODE + "SELECT w, list(id ORDER BY p) AS ids, string_agg(digits, '' ORDER BY p) AS decoded FROM final JOIN vocabulary USING (id) GROUP BY w"
 WHOLE = "SELECT word.w, id FROM word JOIN vocabulary USING (bytes) ORDER BY word.w"
 DECODE = """
-SELECT d, string_agg(digits, '' ORDER BY p) AS decoded FROM ids JOIN vocabulary USING (id) GROUP BY d ORDER BY d
+SELECT d, count(*) AS many, string_agg(digits, '' ORDER BY p) AS decoded FROM ids JOIN vocabulary USING (id) GROUP BY d ORDER BY d
 """
 
 
 class Coder:
     """Encodes and decodes with the ranks of a .tiktoken file. Each distinct word goes through
-    the recursive query once (a bounded cache of words, which is emptied when full)."""
+    the recursive query once (a bounded cache that keeps the words used of late)."""
 
     #: Longer words would take an iteration over all their rows for each contraction; they are
     #: contracted by the same rule with a priority queue.
@@ -54,8 +54,7 @@ class Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.bytes = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.max_cached = max_cached
-        self.known: dict[str, bytes] = {}  # ids of a chunk
+        self.known: Recent = Recent(max_cached)  # ids of chunks
         get = self.ranks.get
         merges = [(l << 32 | r, m) for t, m in self.ranks.items() for i in range(1, len(t)) if (l := get(t[:i])) is not None and (r := get(t[i:])) is not None]
         db = self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -148,13 +147,9 @@ class Coder:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids (little-endian unsigned 32-bit) of each text, and the bytes that these ids decode to."""
         split = [self._chunks(t) for t in texts]
-        fresh = {c for chunks in split for c in chunks}
-        if len(self.known) + len(fresh - self.known.keys()) > self.max_cached:
-            self.known.clear()
-        fresh -= self.known.keys()
         known = self.known
-        matches = {c: self.pattern.findall(c) for c in fresh}
-        words = list({w for found in matches.values() for w in found} - known.keys())
+        matches = {c: self.pattern.findall(c) for c in known.missing(set().union(*split))}
+        words = list(set().union(*matches.values()).difference(known))
         for i in range(0, len(words), 40_000):
             part = words[i : i + 40_000]
             for w, (ids, _) in zip(part, self._contract([w.encode() for w in part])):
@@ -162,7 +157,7 @@ class Coder:
         for c, found in matches.items():
             if len(found) != 1:
                 known[c] = b"".join([known[w] for w in found])
-        out = [b"".join([known[c] for c in chunks]) for chunks in split]
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
         return list(zip(out, self.decode(out)))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -172,8 +167,12 @@ class Coder:
         arrays = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
         rows = pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), [len(a) for a in arrays]), "p": np.concatenate([np.arange(len(a), dtype=np.int32) for a in arrays] or [np.zeros(0, np.int32)]), "id": np.concatenate(arrays or [np.zeros(0, np.int32)])})
         out = [b""] * len(ids)
-        for d, decoded in self._query(DECODE, ids=rows):
+        for d, many, decoded in self._query(DECODE, ids=rows):
+            if many != len(arrays[d]):
+                raise ValueError("an id is not in the vocabulary")
             out[d] = bytes.fromhex(decoded)
+        if any(len(a) and not x for a, x in zip(arrays, out)):
+            raise ValueError("an id is not in the vocabulary")
         return out
 
 
@@ -192,7 +191,8 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, digests: bool =
 
     Rows are encoded where they are read, without a shuffle; a task holds a few megabytes of
     texts, their distinct words and a bounded cache. Null text is empty and has no tokens; ids,
-    repeated or null, pass through; other columns are ignored.
+    repeated or null, pass through, each row giving one; an empty table gives no rows; other columns,
+    whatever their names, are ignored.
     """
 
     def run(batches):
@@ -214,7 +214,9 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, digests: bool =
 
 
 def decode_documents(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """``doc_id, decoded`` (binary) of rows with ``doc_id, ids``; null ids decode to no bytes."""
+    """``doc_id, decoded`` (binary) of rows with ``doc_id, ids``. Null or empty ids decode to no
+    bytes; rows that repeat are decoded each; an empty table gives no rows; an id that is not in the
+    vocabulary raises; other columns are ignored."""
 
     def run(batches):
         import pyarrow as pa
@@ -228,6 +230,8 @@ def decode_documents(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of all ``documents``, as digests; nulls, empty and repeated rows and an
+    empty table as in ``encode_documents``."""
     import public_tokenizers
 
     from .common import table

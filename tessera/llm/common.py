@@ -105,6 +105,29 @@ def texts_of(batch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+class Recent(dict):
+    """A cache of about ``max_cached`` entries that keeps the recently used half when it is full.
+
+    ``missing(wanted)`` makes room and gives those of ``wanted`` that have to be made; the others can
+    be looked up until it is called again."""
+
+    def __init__(self, max_cached: int):
+        super().__init__()
+        self.half, self.before = max(1, max_cached // 2), {}
+
+    def missing(self, wanted: set) -> set:
+        fresh = wanted.difference(self)
+        if len(self) + len(fresh) > self.half and len(self):
+            self.before = dict(self)
+            self.clear()
+            fresh = wanted
+        if self.before:
+            again = fresh.intersection(self.before)
+            self.update(zip(again, map(self.before.__getitem__, again)))
+            fresh = fresh - again
+        return fresh
+
+
 def shipped(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers (once a Spark context)."""
     import pathlib

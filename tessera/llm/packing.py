@@ -10,23 +10,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, texts_of
+from .common import Recent, arrow_map, slices, texts_of
 
 
 class ChunkEncoder:
     """Ids of a ``tokenizers`` file whose pre-tokenizer never joins what white space separates:
     a text's ids are those of its chunks, and each distinct chunk is encoded once by the library
-    (a bounded cache; frequent chunks come back at once after it is emptied)."""
+    (a bounded cache that keeps the chunks used of late)."""
 
     #: Ends of ASCII punctuation are matches of their own in the tokenizer's pattern.
     TAIL = re.compile(rb"^(.*[A-Za-z0-9])([.,!?;:%*#$&()\[\]{}|-]+)$")
 
-    def __init__(self, path: str, max_cached: int = 600_000):
+    def __init__(self, path: str, max_cached: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.max_cached = max_cached
-        self.known: dict[bytes, bytes] = {}
+        self.known: Recent = Recent(max_cached)  # ids of chunks
         tokens = self.library.get_vocab()
         self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
         self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
@@ -65,13 +64,9 @@ class ChunkEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         # ASCII letters are lower-cased anyway; a special token's spelling must not arise by it.
         split = [(t.encode().lower() if t.isascii() and "<|" not in t else t.encode()).split() for t in texts]
-        fresh = {c for chunks in split for c in chunks} - self.known.keys()
-        if len(self.known) + len(fresh) > self.max_cached:
-            self.known.clear()
-            fresh = {c for chunks in split for c in chunks}
-        self.add(fresh)
-        known = self.known
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        self.add(self.known.missing(set().union(*split)))
+        known = self.known.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in split]
 
 
 def differencing(sizes: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,6 +251,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
 
 
 def op2_kk_packing(spark, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed by ``pack_documents``; nulls, empty and repeated rows and an empty
+    table as there."""
     import public_tokenizers
 
     from .common import table

@@ -9,11 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, texts_of
+from .common import Recent, arrow_map, slices, texts_of
 
 SPACE = "▁"
-#: A run of the pieces that consist of spaces only grows by whole pieces of this many.
-SPACE_RUN = 16
 #: Tables of longer words are made one by one and not cached.
 LONG_WORD = 64
 
@@ -34,7 +32,7 @@ class PrefixCounter:
     for each code point.
     """
 
-    def __init__(self, model: str, max_cached: int = 400_000):
+    def __init__(self, model: str, max_cached: int = 600_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -42,7 +40,7 @@ class PrefixCounter:
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(len(sp)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
         self.longest = max(map(len, self.scores))
         self.max_cached = max_cached
-        self.words: dict[str, bytes] = {}
+        self.words = Recent(max_cached)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         # For tables of many words at once: pieces by number, and a trie of the reversed pieces,
@@ -65,13 +63,25 @@ class PrefixCounter:
         self.ends = np.array(ends, np.int32)
         self.standing = np.full(len(self.pieces), -1, np.int8)
         self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.spaces = [0, 1] + [len(sp.encode(" " * (j - 1))) for j in range(2, 2 * SPACE_RUN + 1)]
+        # Long runs of spaces are cut into the model's longest piece of spaces; the library is asked
+        # whether this model does so, as it need not.
+        run = self.run = max((len(p) for p in self.scores if not p.strip(SPACE)), default=1)
+        self.spaces = [0, 1] + [len(sp.encode(" " * (j - 1))) for j in range(2, 2 * run + 1)]
+        if any(len(sp.encode(" " * (n - 1))) != self.space_run(n) for n in [*range(2 * run, 4 * run + 2), 17 * run + 3, 64 * run - 1]):
+            raise ValueError("the model's counts of runs of spaces do not grow by its longest piece of spaces")
+        self._check()
+
+    def _check(self) -> None:
+        """Raises for a model whose counts are not those of this program, as of another kind of model."""
+        text = "The quick  brown fox, jumped\nover 12,345 lazy dogs; naïve Straße   x\u4e2d\u6587 "
+        if any(int(np.frombuffer(self.differences(text[:n]), np.int8).sum(dtype=np.int64)) != len(self.library.encode(text[:n])) for n in range(len(text) + 1)):
+            raise ValueError("the model's token counts do not follow from its scores")
 
     def space_run(self, n: int) -> int:
         """Tokens of n spaces."""
         if n < len(self.spaces):
             return self.spaces[n]
-        return n // SPACE_RUN + self.spaces[n % SPACE_RUN]
+        return n // self.run + self.spaces[n % self.run]
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE of a short text: the best score first, the leftmost of equal ones."""
@@ -187,10 +197,8 @@ class PrefixCounter:
 
     def add(self, texts: list[str]) -> None:
         """Makes the tables of the words of ``texts`` that are not cached."""
-        fresh = {w for t in texts if t for w in t.replace(SPACE, " ").split(" ")}
-        if len(self.words) + len(fresh) > self.max_cached:
-            self.words.clear()
-        fresh = sorted((w for w in fresh - self.words.keys() if len(w) <= LONG_WORD), key=len)
+        fresh = self.words.missing(set().union(*[t.replace(SPACE, " ").split(" ") for t in texts if t]))
+        fresh = sorted((w for w in fresh if len(w) <= LONG_WORD), key=len)
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
             self.words.update(zip(part, self.tables(part)))
@@ -277,6 +285,8 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
+    """``token_counts`` of all ``documents``; nulls, empty and repeated rows and an empty table as
+    there."""
     import public_tokenizers
 
     from .common import table
