@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc32_of_id, settled, slices, texts_of
+from .common import arrow_map, crc32_of_id, discard, slices, texts_of
 from .toxicity import labelled_sample
 
 FEATURES = (
@@ -155,9 +155,10 @@ def fit_model(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, fold=None) -> AdditiveModel:
-    """Fit on a bounded sample of labelled rows (``max_rows``, those of the least hashes of their
-    ids); only their features come to the driver."""
-    sample = settled(labelled_sample(docs, labels, "quality", F.lit(True) if fold is None else fold, max_rows), "quality-sample")
+    """Fit on a bounded sample of labelled rows (``max_rows``, see ``labelled_sample``, where nulls,
+    ties and repeated rows are defined); only their features come to the driver. No label gives a
+    model that scores every text 0.5."""
+    sample = labelled_sample(docs, labels, "quality", F.lit(True) if fold is None else fold, max_rows)
 
     def run(batches):
         import pyarrow as pa
@@ -167,13 +168,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, fold=None)
 
     kind = dict(sample.dtypes)["doc_id"]
     rows = arrow_map(sample.select("doc_id", "text", F.col("y").cast("int").alias("y")), run, f"x array<double>, y int, doc_id {kind}").orderBy("doc_id", "x").collect()
+    discard(sample)
     x = np.array([r.x for r in rows], np.float64).reshape(-1, len(FEATURES))
     return fit_model(x, np.array([r.y for r in rows], np.float64))
 
 
 def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """``doc_id, score`` (0 to 1): how likely the text is of good quality, over whole texts where
-    they are read. Null text is empty; ids, repeated or null, pass through."""
+    """``doc_id, score`` (0 to 1) of each row: how likely the text is of good quality. Scored where it
+    is read, over whole texts.
+
+    Defined results: null text is empty, an empty text has zeros for features; equal texts have equal
+    scores; rows that repeat are scored each, ids of any type, null too, pass through; an empty table
+    gives no rows; other columns, whatever their names, are ignored."""
 
     def run(batches):
         import pyarrow as pa
@@ -194,6 +200,8 @@ def held_out():
 
 
 def op5_quality_gam(spark, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by a model fitted on the labels outside the held-out fold; nulls,
+    empty and repeated rows and an empty table as in ``score``."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc32_of_id, settled, slices, texts_of
+from .common import Recent, arrow_map, crc32_of_id, discard, settled, slices, text_of, texts_of
 
 #: Lengths of the word beginnings that are terms of their own.
 STEMS = (3, 4, 5, 6, 7)
@@ -54,26 +55,17 @@ class Terms:
     """Distinct words of texts, and their terms from a bounded cache."""
 
     def __init__(self, bits: int, known: np.ndarray | None = None, max_cached: int = 200_000):
-        self.bits, self.max_cached = bits, max_cached
+        self.bits, self.cache = bits, Recent(max_cached)
         self.at = None if known is None else {int(t): i for i, t in enumerate(known)}
-        self.cache: dict[str, tuple[int, ...]] = {}
 
     def of(self, text: str) -> np.ndarray:
         """Distinct hashed terms, or with a model's terms their positions, ascending."""
-        cache, found = self.cache, []
-        for word in set(text.lower().split()):
-            terms = cache.get(word)
-            if terms is None:
-                bare = word.strip(TRIM)
-                terms = hashed_terms(bare, self.bits) if bare else ()
-                if self.at is not None:
-                    terms = tuple(self.at[t] for t in terms if t in self.at)
-                if len(cache) >= self.max_cached:
-                    cache.clear()
-                cache[word] = terms
-            if terms:
-                found.extend(terms)
-        return np.unique(np.array(found, np.int64))
+        cache, words = self.cache, set(text.lower().split())
+        for word in cache.missing(words):
+            bare = word.strip(TRIM)
+            terms = hashed_terms(bare, self.bits) if bare else ()
+            cache[word] = terms if self.at is None else tuple(self.at[t] for t in terms if t in self.at)
+        return np.unique(np.array([*chain.from_iterable(map(cache.__getitem__, words))], np.int64))
 
 
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, k: int = 8, epochs: int = 400, l2: float = 2e-5, seed: int = 7) -> FactorizationMachine:
@@ -107,22 +99,36 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, k: int
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, fold, max_rows: int) -> DataFrame:
-    """``doc_id, y, text`` of at most ``max_rows`` labelled rows for which ``fold`` holds: those of
-    the least hashes of their ids. At most ``max_rows`` ids are broadcast to the scan."""
+    """``doc_id, y, text`` (a settled table) of at most ``max_rows`` rows with a label for which ``fold``
+    holds: those of the least hashes of their ids. At most ``max_rows`` ids are broadcast to the scan.
+
+    Defined results: labels that are neither 0 nor 1, and those of no id, are left out; of several
+    labels of an id the larger counts; rows that repeat an id with its text count once, but only if
+    there are more rows than ``max_rows``, and of what is still more (one id with many texts) those
+    of the least hashes of their texts stay; no label, or an empty table, gives no rows; other
+    columns are ignored."""
     known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).where(fold).groupBy("doc_id").agg(F.max(target).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = settled(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), f"{target}-sample")
+    if sample.count() <= max_rows:
+        return sample
+    keyed = sample.withColumn("hash", F.xxhash64(text_of()))
+    few = keyed.select("doc_id", "hash").distinct().orderBy(F.xxhash64("doc_id", "hash"), "doc_id", "hash").limit(max_rows)
+    out = settled(keyed.join(F.broadcast(few), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"]).drop("hash"), f"{target}-sample")
+    discard(sample)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 512, bits: int = 22, least_z: float = 3.5, fold=None) -> FactorizationMachine:
-    """Fit on a bounded sample of labelled rows (``max_rows``).
+    """Fit on a bounded sample of labelled rows (``max_rows``, see ``labelled_sample``, where nulls,
+    ties and repeated rows are defined).
 
     Executors count in how many toxic and clean documents each hashed term occurs; the
     ``max_terms`` most telling terms (two-proportion z, at least three documents) come to the
     driver with the sample's rows over these terms. No label at all gives a model whose every
     score is 0.5 / its share."""
     fold = F.lit(True) if fold is None else fold
-    sample = settled(labelled_sample(docs, labels, "toxic", fold, max_rows), "toxicity-sample")
+    sample = labelled_sample(docs, labels, "toxic", fold, max_rows)
 
     def count(batches):
         import pyarrow as pa
@@ -151,15 +157,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
             yield pa.RecordBatch.from_arrays([pa.array([reader.of(t).tolist() for t in texts_of(batch)], pa.list_(pa.int64())), batch.column("y")], names=["x", "y"])
 
     rows = arrow_map(sample.select("text", F.col("y").cast("int").alias("y")), select, "x array<long>, y int").groupBy("x", "y").count().collect()
+    rows.sort(key=lambda r: (r.x, r.y))  # sums of floats in the same order, however the rows came
+    discard(sample)
     x = [np.array(r.x, np.int64) for r in rows for _ in range(r["count"])]
     return fit_machine(x, np.array([r.y for r in rows for _ in range(r["count"])]), terms)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, bits: int = 22) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1): how likely the text is toxic. Scored where it is read,
-    over whole texts; null text is empty and has the score of a text without known terms."""
-    if "score" in docs.columns:
-        raise ValueError("docs has a column named score")
+    """``doc_id, score`` (0 to 1) of each row: how likely the text is toxic. Scored where it is read,
+    over whole texts.
+
+    Defined results: null text is empty, and an empty text has the score of one without known terms,
+    as has any text if there was no label; equal texts have equal scores; rows that repeat are scored
+    each, ids of any type, null too, pass through; an empty table gives no rows; other columns,
+    whatever their names, are ignored."""
 
     def run(batches):
         import pyarrow as pa
@@ -167,10 +178,10 @@ def score(docs: DataFrame, model: FactorizationMachine, bits: int = 22) -> DataF
         reader = Terms(bits, model.terms)
         for batch in slices(batches):
             scores = model.scores([reader.of(t) for t in texts_of(batch)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(scores)], names=[*(c for c in batch.schema.names if c != "text"), "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
-    schema = docs.drop("text").schema.add("score", "double")
-    return arrow_map(docs, run, schema)
+    docs = docs.select("doc_id", "text")
+    return arrow_map(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
 THRESHOLD = 0.7
@@ -181,18 +192,21 @@ def held_out():
 
 
 def op3_toxicity_fm(spark, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by a machine fitted on the labels outside the held-out fold; nulls,
+    empty and repeated rows and an empty table as in ``score``."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), fold=~held_out())
-    scored = score(docs.select("doc_id", "text"), model)
+    scored = score(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with all columns, without the documents that score at least ``THRESHOLD``.
+    """``docs`` with all columns, of any names, without the rows that score at least ``THRESHOLD``.
 
-    The text is scored where it is read and goes along; nothing is shuffled."""
+    The text is scored where it is read and goes along; nothing is shuffled. Nulls, empty texts,
+    repeated rows and empty tables as in ``score``; rows with equal texts stay or go together."""
     model = train(docs, labels, fold=~held_out())
 
     def run(batches):

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline
 from tessera.llm import toxicity as T
 
@@ -62,3 +64,26 @@ def test_odd_rows(spark):
     # Null and empty texts are copies of each other, and so are the runs of one word.
     assert sorted(r.doc_id for r in docs.collect()) == [1, 2]
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, DIR).collect()} == {1, 2}
+
+
+#: Columns of the operators' own tables, old and new, as columns of the user.
+INNER = """_text _hits _base _spans _red _gaps _cand _assign _t _tid _tkey _thash _tdropped _ttext _tspans _tends _tdata _t_id _t_key _t_hash _t_dropped
+    score y term k1 k2 c rep size keys grams text_hash class_id copy_of n_links prefix tree node q own other set t1 t2 u v root head links docs low
+    len raw norm row full id text_sha256 keep_id group_size kept count hash _id _hash _part _own start length sequence_id offset""".split()
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_any_other_column(spark, name):
+    """A stage's result is the same whatever other columns there are, and these keep their values."""
+    rows = [(1, "a b c d e f secret: Zx81Qm0aLp93Vn2Rt7Ky", 42), (2, "a  b c d e f secret: Zx81Qm0aLp93Vn2Rt7Ky", 43), (3, "something else altogether", 25), (None, None, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    wide = spark.createDataFrame([(*r, *[f"{n} {r[0]}" for n in INNER]) for r in rows], "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in INNER))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    want, got = stage(spark, plain, DIR), stage(spark, wide, DIR)
+    key = lambda r: str((r.doc_id, r.asDict()))
+    if name == corpus_pipeline.STAGES[-1][0]:
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+        return
+    assert got.columns == wide.columns
+    assert sorted(map(key, got.select("doc_id", "text", "n_chars").collect())) == sorted(map(key, want.collect()))
+    assert all(r[n] == f"{n} {r.doc_id}" for r in got.collect() for n in INNER)
