@@ -78,16 +78,31 @@ def flag_true(df: DataFrame, name: str) -> Column:
     return F.lit(False)
 
 
-def as_date(df: DataFrame, name: str, strict: bool = True) -> Column:
+#: Units of a day.
+PER_DAY = {"s": 86_400, "ms": 86_400_000, "us": 86_400_000_000, "ns": 86_400_000_000_000}
+
+
+def _day_number(name: str, unit: str) -> Column:
+    """The UTC day of a whole number of ``unit`` since the epoch, by integer division downwards."""
+    n, per = f"cast(`{name.replace('`', '``')}` as bigint)", f"{PER_DAY[unit]}L"
+    return F.expr(f"date_from_unix_date(cast(({n} - pmod({n}, {per})) div {per} as int))")
+
+
+def as_date(df: DataFrame, name: str, strict: bool = True, unit: str | None = None) -> Column:
     """A column of any kind of date as DATE (UTC): dates, timestamps with or without zone, ISO
-    strings, epoch milliseconds, and nanoseconds since the epoch (numbers too large to be
-    milliseconds). Strings that are no date raise, or with ``strict=False`` give NULL."""
+    strings, and whole numbers since the epoch in ``unit`` (``PER_DAY``). Strings that are no date
+    raise, or with ``strict=False`` give NULL.
+
+    Without a unit, numbers below 10^15 (the year 33658) are milliseconds and others nanoseconds, as
+    which timestamps of that precision load; microseconds, and nanoseconds within eleven days of
+    1970, cannot be told apart and need their unit."""
     kind, c = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.DateType):
         return c
     if isinstance(kind, (T.LongType, T.IntegerType)):
-        nanos = F.abs(c) >= F.lit(10**15)
-        return F.when(nanos, F.timestamp_micros(F.floor(c / 1000).cast("long"))).otherwise(F.timestamp_millis(c.cast("long"))).cast("date")
+        if unit:
+            return _day_number(name, unit)
+        return F.when(F.abs(c) >= F.lit(10**15), _day_number(name, "ns")).otherwise(_day_number(name, "ms"))
     if isinstance(kind, T.StringType):
         return (F.to_timestamp(c) if strict else F.try_to_timestamp(c)).cast("date")
     return c.cast("date")

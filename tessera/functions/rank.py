@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,21 +41,28 @@ def score_low(df: DataFrame, col: str, by: str = "rebalance_date", out: str = "s
     return _score(df, -number(col), by, out)
 
 
-def rolling_ts_rank(col: Column | str, window: int, min_valid: int, by: str = "security_id", order: str = "date") -> Column:
+def rolling_ts_rank(col: Column | str, window: int, min_valid: int, by: str = "security_id", order: str = "date", ties: Sequence[str] = ()) -> Column:
     """Rank of a finite value among the finite ones of the ``window`` rows before it, from -0.5 to
-    0.5, equal ones counting half; needs ``min_valid`` of them and two that differ."""
+    0.5, equal ones counting half; needs ``min_valid`` of them and two that differ.
+
+    The history is gathered once a row: it and the value are bound as one struct, of which the rank
+    is a function."""
     x = number(col)
-    valid = finite(x)
-    history = F.collect_list(F.when(valid, x)).over(panel(by, order).rowsBetween(-window, -1))
-    below = F.size(F.filter(history, lambda h: h < x))
-    equal = F.size(F.filter(history, lambda h: h == x))
-    enough = valid & (F.size(history) >= max(min_valid, 1)) & (F.size(F.array_distinct(history)) >= 2)
-    return _known(by, F.when(enough, (below + equal * F.lit(0.5)) / F.size(history) - 0.5))
+    history = F.collect_list(F.when(finite(x), x)).over(panel(by, order, *ties).rowsBetween(-window, -1))
+
+    def rank(s: Column) -> Column:
+        h, v = s["h"], s["x"]
+        below, equal = F.size(F.filter(h, lambda y: y < v)), F.size(F.filter(h, lambda y: y == v))
+        enough = finite(v) & (F.size(h) >= max(min_valid, 1)) & (F.array_min(h) < F.array_max(h))
+        return F.when(enough, (below + equal * F.lit(0.5)) / F.size(h) - 0.5)
+
+    bound = F.array(F.struct(history.alias("h"), x.alias("x")))
+    return _known(by, F.get(F.transform(bound, rank), F.lit(0)))
 
 
-def ts_rank_quarterly(col, window: int = 20, min_valid: int = 12, by: str = "security_id", order: str = "rebalance_date") -> Column:
-    return rolling_ts_rank(col, window, min_valid, by, order)
+def ts_rank_quarterly(col, window: int = 20, min_valid: int = 12, by: str = "security_id", order: str = "rebalance_date", ties: Sequence[str] = ()) -> Column:
+    return rolling_ts_rank(col, window, min_valid, by, order, ties)
 
 
-def ts_rank_monthly(col, window: int = 60, min_valid: int = 36, by: str = "security_id", order: str = "date") -> Column:
-    return rolling_ts_rank(col, window, min_valid, by, order)
+def ts_rank_monthly(col, window: int = 60, min_valid: int = 36, by: str = "security_id", order: str = "date", ties: Sequence[str] = ()) -> Column:
+    return rolling_ts_rank(col, window, min_valid, by, order, ties)

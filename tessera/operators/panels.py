@@ -70,7 +70,8 @@ def rebalance_panel(df: DataFrame, by: str = "security_id", date: str = "date")
     return out.select(by, "rebalance_date", *fund, *act, *cons)
 
 
-def standardise_dates(df: DataFrame, names: list[str], rename: dict[str, str] | None = None) -> DataFrame:
-    """Dates of any kind as UTC calendar days, columns renamed first."""
+def standardise_dates(df: DataFrame, names: list[str], rename: dict[str, str] | None = None, units: dict[str, str] | None = None) -> DataFrame:
+    """Dates of any kind as UTC calendar days, columns renamed first; ``units`` says what whole
+    numbers count (see ``as_date``)."""
     df = df.withColumnsRenamed(rename or {})
-    return df.withColumns({c: as_date(df, c) for c in names})
+    return df.withColumns({c: as_date(df, c, unit=(units or {}).get(c)) for c in names})

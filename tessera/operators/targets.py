@@ -40,11 +40,14 @@ def horizon_targets(month_ends: DataFrame, months: int, quarter_end_only: bool =
     has no row at that end or a day between breaks the chain. Rows without a target stay.
 
     The row ``months`` later is the one row in a range frame of exactly that distance, so the
-    panel is neither scanned nor shuffled again for a join with itself."""
+    panel is neither scanned nor shuffled again for a join with itself. Two rows of a security in one
+    month end raise when the plan runs: their returns would be a matter of chance."""
     target, end = f"target_{months}m", f"target_{months}m_end_date"
     ids = [c for c in month_ends.columns if c not in ("date", "month", "cum_log_return", "cum_invalid")]
     w = Window.partitionBy("security_id").orderBy("month").rangeBetween(months, months)
-    met = month_ends.withColumn("__end", F.first(F.struct("date", "cum_log_return", "cum_invalid")).over(w))
+    own = Window.partitionBy("security_id").orderBy("month").rangeBetween(0, 0)
+    met = month_ends.withColumn("__end", F.first(F.struct("date", "cum_log_return", "cum_invalid")).over(w)).withColumn("__n", F.count("*").over(own))
+    met = met.withColumn("security_id", F.when((F.col("__n") > 1) & F.col("security_id").isNotNull(), F.raise_error(F.concat(F.lit("several rows at a month end of security "), F.col("security_id").cast("string")))).otherwise(F.col("security_id")))
     if quarter_end_only:  # of the samples only; any month end may be an endpoint
         met = met.where(F.month("date").isin(3, 6, 9, 12))
     whole = F.col("__end.cum_invalid") == F.col("cum_invalid")

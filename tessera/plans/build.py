@@ -15,14 +15,14 @@ def build_daily(spark: SparkSession, source: str, outdir: str) -> DataFrame:
     """Extract, write the raw panel and the list of absent columns, clean, write; the report."""
     df = spark.read.parquet(source)
     io.write_panel(io.extract_columns(df, schema.DAILY_REQUESTED), f"{outdir}/daily_raw.parquet")
-    io.missing_columns_csv(f"{outdir}/missing_daily_columns.csv", schema.DAILY_REQUESTED, df.columns)
+    io.missing_columns_csv(spark, f"{outdir}/missing_daily_columns.csv", schema.DAILY_REQUESTED, df.columns)
     raw = io.read_panel(spark, f"{outdir}/daily_raw.parquet")
     io.write_panel(quality.clean_daily(raw), f"{outdir}/daily_clean.parquet")
     return quality.clean_report(raw).crossJoin(quality.verify_clean(spark.read.parquet(f"{outdir}/daily_clean.parquet")))  # one row each
 
 
 def build_monthly(spark: SparkSession, source: str, out: str) -> None:
-    io.write_panel(panels.monthly_panel(io.read_panel(spark, source, schema.MONTHLY_COLUMNS)), out)
+    io.write_panel(panels.monthly_panel(io.read_panel(spark, source, schema.MONTHLY_COLUMNS)), out, "security_id", "date")
 
 
 def build_quarterly(spark: SparkSession, source: str, out: str) -> DataFrame:
@@ -31,7 +31,7 @@ def build_quarterly(spark: SparkSession, source: str, out: str) -> DataFrame:
     if absent := schema.missing(chosen, columns):
         raise ValueError(f"missing columns: {absent}")
     panel = panels.rebalance_panel(io.read_panel(spark, source, chosen))
-    io.write_panel(quality.apply_do_not_use(panel), out)
+    io.write_panel(quality.apply_do_not_use(panel), out, "security_id", "rebalance_date")
     return quality.do_not_use_report(panel)
 
 
@@ -43,16 +43,19 @@ def build_targets(spark: SparkSession, daily: str, outdir: str, return_unit: str
     quality.validate_keys(df, schema.TARGET_REQUIRED)
     ends = targets.market_month_end(targets.return_state(df, return_unit, ids)).persist()
     reports = []
-    for months, quarters, name in ((1, False, "monthly_targets"), (3, True, "quarterly_targets")):
-        out = targets.horizon_targets(ends, months, quarters)
-        io.write_panel(out.orderBy("date", "security_id"), f"{outdir}/{name}.parquet")
-        reports.append(targets.target_report(out, months))
+    try:
+        for months, quarters, name in ((1, False, "monthly_targets"), (3, True, "quarterly_targets")):
+            path = f"{outdir}/{name}.parquet"
+            io.write_panel(targets.horizon_targets(ends, months, quarters), path, "date", "security_id")
+            reports.append(targets.target_report(spark.read.parquet(path), months))
+    finally:
+        ends.unpersist()
     return reports
 
 
-def standardise(spark: SparkSession, path: str, names: list[str], rename: dict[str, str] | None = None) -> None:
+def standardise(spark: SparkSession, path: str, names: list[str], rename: dict[str, str] | None = None, units: dict[str, str] | None = None) -> None:
     """One kind of date in a panel, in place; running it again changes nothing."""
-    io.rewrite_panel(spark, path, lambda df: panels.standardise_dates(df, names, {k: v for k, v in (rename or {}).items() if k in df.columns}))
+    io.rewrite_panel(spark, path, lambda df: panels.standardise_dates(df, names, {k: v for k, v in (rename or {}).items() if k in df.columns}, units))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -67,6 +70,7 @@ def main(argv: list[str] | None = None) -> None:
         if kind == "dates":
             sub.add_argument("--columns", nargs="+", default=["date"])
             sub.add_argument("--rename", nargs="*", default=[], help="old=new")
+            sub.add_argument("--units", nargs="*", default=[], help="column=s|ms|us|ns, of whole numbers since the epoch")
     args = parser.parse_args(argv)
     spark = session()
     if args.kind == "daily":
@@ -79,7 +83,7 @@ def main(argv: list[str] | None = None) -> None:
         for report in build_targets(spark, args.daily, args.outdir, args.return_unit):
             report.show(vertical=True)
     else:
-        standardise(spark, args.path, args.columns, dict(x.split("=") for x in args.rename))
+        standardise(spark, args.path, args.columns, *(dict(x.split("=") for x in given) for given in (args.rename, args.units)))
 
 
 if __name__ == "__main__":

@@ -6,6 +6,7 @@ the base frame in Spark, its oracle spells the same result out in plain SQL."""
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from ..functions import rank as K
 from ..functions import window as W
 from ..operators import asof, panels, quality, targets
 from ..sources import io, schema
+from . import build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -389,7 +391,6 @@ SELECT l_suppkey AS security_id, date, CASE WHEN n % 7 = 1 THEN NULL ELSE CAST(d
   CASE WHEN n % 6 = 1 THEN NULL ELSE lo END AS actuals_actual_eps, CASE WHEN n % 3 = 1 THEN NULL ELSE date END AS consensus_forecast_period_end,
   CAST(date + CASE WHEN n % 2 = 0 THEN INTERVAL '20' DAY ELSE INTERVAL '35' DAY END AS DATE) AS consensus_statistic_date, q AS consensus_eps_mean
 FROM (SELECT l_suppkey, CAST(date_trunc('quarter', CAST(l_shipdate AS TIMESTAMP)) AS DATE) AS date, max(l_extendedprice) AS hi, min(l_extendedprice) AS lo, max(l_quantity) AS q, count(*) AS n FROM {lineitem} GROUP BY 1, 2) x
-WHERE (l_suppkey + n) % 8 <> 0
 """
 _REBALANCE = """
 , s AS (SELECT security_id, min(date) AS lo, max(date) AS hi FROM b GROUP BY 1),
@@ -415,12 +416,24 @@ def _(df):
     return panels.rebalance_panel(df)
 
 
+#: Whole numbers of every unit, on both sides of the epoch and at the last nanosecond of a day; the
+#: day is o_orderkey's, up to 20,000 days from 1970 so that nanoseconds fit.
+_DAYS = """
+SELECT o_orderkey, o_orderdate AS rebalance_date, concat(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 'T23:30:00-05:00') AS told, d * 86400000 + 5 AS millis, abs(d) * 86400000000000 + 1000000000000000000 AS nanos,
+  d * 86400000000000 + 86399999999999 AS last_nanos, d * 86400000000 + 86399999999 AS micros, d * 86400 AS seconds, d % 9 * 86400000000000 + 1 AS early_nanos
+FROM (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * (o_orderkey % 20000) AS d FROM {orders}) x
+"""
+_UNITS = {"millis": "ms", "last_nanos": "ns", "micros": "us", "seconds": "s", "early_nanos": "ns"}
+
+
 @query(
-    "standardise_dates", "SELECT o_orderkey, o_orderdate AS rebalance_date, concat(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 'T23:30:00-05:00') AS told, o_orderkey * 86400000 + 5 AS millis, o_orderkey * 86400000000000 + 1000000000000000000 AS nanos FROM {orders}",
-    "SELECT o_orderkey, CAST(CAST(rebalance_date AS DATE) AS VARCHAR) AS date, CAST(CAST(rebalance_date AS DATE) + 1 AS VARCHAR) AS told, CAST(DATE '1970-01-01' + CAST(o_orderkey AS INTEGER) AS VARCHAR) AS millis, CAST(DATE '2001-09-09' + CAST(o_orderkey AS INTEGER) AS VARCHAR) AS nanos FROM b",
+    "standardise_dates", _DAYS,
+    """, x AS (SELECT *, CAST(CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * (o_orderkey % 20000) AS INTEGER) AS d FROM b)
+    SELECT o_orderkey, CAST(CAST(rebalance_date AS DATE) AS VARCHAR) AS date, CAST(CAST(rebalance_date AS DATE) + 1 AS VARCHAR) AS told, CAST(DATE '2001-09-09' + abs(d) AS VARCHAR) AS nanos,
+      CAST(DATE '1970-01-01' + d AS VARCHAR) AS millis, CAST(DATE '1970-01-01' + d AS VARCHAR) AS last_nanos, CAST(DATE '1970-01-01' + d AS VARCHAR) AS micros, CAST(DATE '1970-01-01' + d AS VARCHAR) AS seconds, CAST(DATE '1970-01-01' + d % 9 AS VARCHAR) AS early_nanos FROM x""",
 )
 def _(df):
-    return panels.standardise_dates(df, ["date", "told", "millis", "nanos"], {"rebalance_date": "date"})
+    return panels.standardise_dates(df, ["date", "told", "nanos", *_UNITS], {"rebalance_date": "date"}, _UNITS)
 
 
 # Targets --------------------------------------------------------------------------------------------------
@@ -495,6 +508,220 @@ def _(df):
     return out.withColumns({c: steady(F.col(c)) for c in ("mean", "median", "p01", "p99", "min", "max")})
 
 
+# Files, builders, and what is missing -----------------------------------------------------------------------
+
+#: DAILY with NaN, infinities, rows of no entity, and numbers that are none.
+_NAN, _INF = "CAST('NaN' AS DOUBLE)", "CAST('Infinity' AS DOUBLE)"
+DIRTY = f"""
+SELECT CASE WHEN n % 17 = 0 THEN NULL ELSE security_id END AS security_id, ticker, date, equity_open_raw,
+  CASE WHEN n % 10 = 1 THEN {_NAN} WHEN n % 10 = 2 THEN {_INF} ELSE equity_high_raw END AS equity_high_raw, equity_low_raw, CASE WHEN n % 19 = 3 THEN {_NAN} ELSE equity_close_raw END AS equity_close_raw, equity_price_adj_factor,
+  CASE WHEN n % 12 = 1 THEN {_NAN} WHEN n % 12 = 2 THEN -{_INF} ELSE equity_adj_close END AS equity_adj_close,
+  CASE WHEN n % 23 = 1 THEN {_NAN} WHEN n % 23 = 2 THEN {_INF} WHEN n % 23 = 3 THEN -1e0 ELSE equity_total_return END AS equity_total_return,
+  CASE WHEN n % 14 = 1 THEN {_NAN} WHEN n % 14 = 2 THEN {_INF} ELSE equity_price_return_ex_div END AS equity_price_return_ex_div, n AS equity_volume_raw, equity_close_flag
+FROM (SELECT *, equity_volume_raw AS n FROM ({DAILY}) z) w
+"""
+
+
+def _fin(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN NULL ELSE {x} END)"
+
+
+def _value(x: str) -> str:
+    return f"CASE WHEN isnan({x}) THEN NULL ELSE {x} END"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for the files of a builder's query: in the shared folder that the session names, else in
+    its warehouse. It goes when the application ends."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{top.rstrip('/')}/panels-{uuid.uuid4().hex}"
+    fs, place = io._place(spark, path)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return path
+
+
+def _written(df: DataFrame) -> str:
+    path = f"{scratch(df.sparkSession)}/source.parquet"
+    io.write_panel(df, path)
+    return path
+
+
+_FLOATS = ["equity_high_raw", "equity_adj_close", "equity_total_return", "equity_price_return_ex_div"]
+
+
+@query("read_panel", DIRTY, "SELECT security_id, CAST(date AS VARCHAR) AS date, equity_volume_raw, " + ", ".join(f"{_value(c)} AS {c}" for c in _FLOATS) + " FROM b")
+def _(df):
+    """What was NaN in a file is missing, infinities stay; only the named columns are read."""
+    return io.read_panel(df.sparkSession, _written(df), ["security_id", "date", "equity_volume_raw", *_FLOATS])
+
+
+_DIRTY_MASKS = f"""
+, f AS (SELECT *, {_fin('equity_open_raw')} AS o, {_fin('equity_high_raw')} AS h, {_fin('equity_low_raw')} AS l, {_fin('equity_close_raw')} AS c, {_fin('equity_adj_close')} AS a, {_fin('equity_price_return_ex_div')} AS r FROM b),
+cal AS (SELECT date AS d, lag(date) OVER (ORDER BY date) AS prev_market FROM (SELECT DISTINCT date FROM b) z),
+w AS (SELECT f.*, prev_market, lag(date) OVER s AS prev_date, lag(a) OVER s AS prev_a FROM f JOIN cal ON date = d WINDOW s AS (PARTITION BY security_id ORDER BY date)),
+m AS (SELECT *, coalesce(o + h + l + c IS NOT NULL AND (h < l OR o > h OR o < l OR c > h OR c < l), false) AS r1, coalesce(c > 0 AND abs(a * equity_price_adj_factor - c) > 1e-2 + 5e-3 * abs(c), false) AS r3,
+  coalesce(security_id IS NOT NULL AND prev_date = prev_market AND a > 0 AND prev_a > 0 AND abs(r - (a / prev_a - 1e0)) > 5e-4, false) AS r2 FROM w)
+"""
+
+
+@query(
+    "build_daily", DIRTY,
+    _DIRTY_MASKS + f"SELECT security_id, CAST(date AS VARCHAR) AS date, equity_low_raw, {_value('equity_close_raw')} AS equity_close_raw, {_value('equity_high_raw')} AS equity_high_raw, CASE WHEN NOT r2 THEN {_value('equity_price_return_ex_div')} END AS equity_price_return_ex_div, equity_close_flag FROM m WHERE NOT (r1 OR r3)",
+)
+def _(df):
+    """Extraction, cleaning and files of the daily panel from a wide one."""
+    spark, source = df.sparkSession, _written(df)
+    out = scratch(spark)
+    build.build_daily(spark, source, out)
+    return io.read_panel(spark, f"{out}/daily_clean.parquet", ["security_id", "date", "equity_low_raw", "equity_close_raw", "equity_high_raw", "equity_price_return_ex_div", "equity_close_flag"])
+
+
+@query(
+    "build_daily_report", DIRTY,
+    _DIRTY_MASKS + """SELECT count(*) AS input_rows, CAST(13 AS BIGINT) AS input_columns, count(*) FILTER (r1) AS r1_rows, count(*) FILTER (r2) AS r2_rows, count(*) FILTER (r3) AS r3_rows, count(*) FILTER (r1 AND r3) AS r1_and_r3,
+      count(*) FILTER (r1 OR r3) AS deleted_rows, count(*) FILTER (r2 AND (r1 OR r3)) AS r2_deleted, count(*) FILTER (r2 AND NOT (r1 OR r3)) AS r2_emptied, CAST(0 AS BIGINT) AS r1_left, CAST(0 AS BIGINT) AS r3_left FROM m""",
+)
+def _(df):
+    return build.build_daily(df.sparkSession, _written(df), scratch(df.sparkSession))
+
+
+_MONTHLY = {
+    "security_id": "l_suppkey", "ticker": "concat('S', CAST(l_suppkey AS VARCHAR(12)))", "date": "CAST(l_shipdate AS TIMESTAMP)", "rec_mean": "max(l_extendedprice)", "rec_count": "count(*)",
+    "tp_statistic_date": "CAST(l_shipdate AS TIMESTAMP)", "rec_unanimous_coverage_flag": "count(*) > 1", "macro_cpi_index": "CASE WHEN l_suppkey % 3 = 0 THEN CAST('NaN' AS DOUBLE) ELSE min(l_tax) END",
+}
+MONTHLY = "SELECT " + ", ".join(f"{_MONTHLY.get(c, 'CAST(NULL AS DOUBLE)')} AS {c}" for c in schema.MONTHLY_COLUMNS) + ", max(l_quantity) AS other FROM {lineitem} GROUP BY l_suppkey, l_shipdate"
+
+
+@query(
+    "build_monthly", MONTHLY,
+    f"""SELECT {', '.join(f'CAST(CAST({c} AS DATE) AS VARCHAR) AS {c}' if c in schema.MONTHLY_DATES else f'{_value(c)} AS {c}' if c == 'macro_cpi_index' else c for c in schema.MONTHLY_COLUMNS)}
+    FROM b QUALIFY row_number() OVER (PARTITION BY security_id, date_trunc('month', date) ORDER BY date DESC) = 1""",
+)
+def _(df):
+    """The monthly panel's file from a wide one."""
+    spark, source = df.sparkSession, _written(df)
+    out = f"{scratch(spark)}/monthly.parquet"
+    build.build_monthly(spark, source, out)
+    return spark.read.parquet(out)
+
+
+_FUND_COLUMNS = ["security_id", "date", "announce_date", "ticker", "total_assets", *schema.QUARTERLY_ACTUALS[:3], "consensus_forecast_period_end", "consensus_statistic_date", "consensus_eps_mean"]
+_QUARTERLY = {"total_assets_dnu_flag": "actuals_actual_eps IS NULL", "consensus_odd_flag": "true", "total_assets_imputed_flag": "true", "ocf_dnu_flag": "false", "capex_dnu_flag": "false"}
+QUARTERLY = "SELECT " + ", ".join([*_FUND_COLUMNS, *[f"{_QUARTERLY.get(c, 'CAST(NULL AS DOUBLE)')} AS {c}" for c in dict.fromkeys([*schema.quarterly_columns([]), *_QUARTERLY]) if c not in _FUND_COLUMNS]]) + f" FROM ({_FUND}) y"
+
+
+@query(
+    "build_quarterly", QUARTERLY,
+    _REBALANCE.replace("f AS (SELECT security_id, announce_date, ticker, total_assets FROM b", "f AS (SELECT security_id, announce_date, ticker, CASE WHEN actuals_actual_eps IS NOT NULL THEN total_assets END AS total_assets FROM b"),
+)
+def _(df):
+    """Column selection, rebalance panel and do-not-use flags from a quarterly source's file."""
+    spark, source = df.sparkSession, _written(df)
+    out = f"{scratch(spark)}/quarterly.parquet"
+    build.build_quarterly(spark, source, out)
+    return spark.read.parquet(out).select("security_id", "rebalance_date", "announce_date", "ticker", "total_assets", *schema.QUARTERLY_ACTUALS[:3], "consensus_forecast_period_end", "consensus_statistic_date", "consensus_eps_mean")
+
+
+_SOURCE = ["date", "zzz", "revenue_dnu_flag", "consensus_late_flag", "inventory_imputed_flag", "actuals_eps_outlier_flag", "net_ppe_flag", "actuals_odd_flag", "unknown_flag", "eps_basic", "cogs_flag_note", "capex_ytd_dnu_flag"]
+_FLAGS_FOUND = ["capex_dnu_flag", "capex_structural_missing_flag", "capex_ytd_dnu_flag", "net_ppe_flag", "ocf_dnu_flag", "ocf_structural_missing_flag", "revenue_dnu_flag", "consensus_late_flag", "actuals_odd_flag"]
+_CHOSEN = [*schema.QUARTERLY_KEYS_META, *schema.QUARTERLY_ACCOUNTS, *schema.QUARTERLY_CONSENSUS, *schema.QUARTERLY_CONSENSUS_MORE, *schema.QUARTERLY_ACTUALS, *schema.QUARTERLY_QC, *_FLAGS_FOUND]
+
+
+@query("quarterly_columns", "SELECT 1 AS one", f"SELECT CAST(generate_subscripts(c, 1) AS INTEGER) AS place, unnest(c) AS name FROM (SELECT {_CHOSEN!r} AS c) x")
+def _(df):
+    return df.sparkSession.createDataFrame(list(enumerate(schema.quarterly_columns(_SOURCE), 1)), "place int, name string")
+
+
+@query("quarterly_report", "SELECT 1 AS one", f"SELECT 12 AS n_source, {len(_CHOSEN)} AS n_selected, {len(_CHOSEN) - 7} AS n_missing, 1 AS n_keys, 1 AS n_accounts, 5 AS n_flags")
+def _(df):
+    r = schema.quarterly_report(_SOURCE)
+    return df.sparkSession.createDataFrame([(r["source"], r["selected"], len(r["missing"]), r["groups"]["keys"], r["groups"]["accounts"], r["groups"]["flags"])], "n_source int, n_selected int, n_missing int, n_keys int, n_accounts int, n_flags int")
+
+
+@query(
+    "validate_keys", "SELECT l_orderkey AS security_id, l_linenumber, CAST(l_shipdate AS DATE) AS date, CAST(CAST(l_shipdate AS DATE) AS VARCHAR(10)) AS text FROM {lineitem}",
+    """SELECT 'absent' AS input, 'missing columns: [''nowhere'']' AS said
+    UNION ALL SELECT 'dates', concat(format('{:,}', count(*)), ' invalid or missing dates') FROM b WHERE l_linenumber > 2
+    UNION ALL SELECT 'repeated', concat(format('{:,}', CAST(sum(n - 1) AS BIGINT)), ' duplicate (security_id, date) rows') FROM (SELECT CASE WHEN security_id % 3 > 0 THEN security_id END AS s, date, count(*) AS n FROM b GROUP BY 1, 2) x
+    UNION ALL SELECT 'sound', 'nothing'""",
+)
+def _(df):
+    """What validation says of absent columns, dates that are none, repeated keys (those of no entity
+    are equal), and a sound panel."""
+    frames = {
+        "absent": (df, ["security_id", "nowhere"]),
+        "dates": (df.withColumn("date", F.when(F.col("l_linenumber") == 1, F.col("text")).when(F.col("l_linenumber") > 2, F.lit("no date")).otherwise(F.col("text"))), ["date"]),
+        "repeated": (df.withColumn("security_id", F.when(F.col("security_id") % 3 > 0, F.col("security_id"))), ["date"]),
+        "sound": (df.dropDuplicates(["security_id", "date"]), ["date"]),
+    }
+    said = []
+    for name, (frame, required) in frames.items():
+        try:
+            quality.validate_keys(frame, required)
+            said.append((name, "nothing"))
+        except ValueError as error:
+            said.append((name, str(error)))
+    return df.sparkSession.createDataFrame(said, "input string, said string")
+
+
+#: DAILY whose returns are in part NaN, infinite or a total loss.
+_RETURNS = DAILY.replace("ELSE (max(l_discount)", f"WHEN count(*) % 41 = 1 THEN {_NAN} WHEN count(*) % 43 = 1 THEN {_INF} WHEN count(*) % 47 = 1 THEN -1e0 ELSE (max(l_discount)")
+_BUILT_STATE = _state_sql(_fin(_TOTAL))
+
+
+def _built_targets_sql(h: int, quarters: bool) -> str:
+    return _BUILT_STATE + _target_sql(h, quarters) + _rounded_target_sql(h)
+
+
+def _built(df, name):
+    spark, source = df.sparkSession, _written(df)
+    out = scratch(spark)
+    build.build_targets(spark, source, out)
+    return spark.read.parquet(f"{out}/{name}.parquet")
+
+
+@query("build_targets_monthly", _RETURNS, _built_targets_sql(1, False))
+def _(df):
+    """Validation, return state and the file of one-month targets from a daily panel's file."""
+    return _rounded(_built(df, "monthly_targets"), 1)
+
+
+@query("build_targets_quarterly", _RETURNS, _built_targets_sql(3, True))
+def _(df):
+    return _rounded(_built(df, "quarterly_targets"), 3)
+
+
+@query(
+    "standardise_in_place", _DAYS,
+    "SELECT o_orderkey, CAST(CAST(rebalance_date AS DATE) AS VARCHAR) AS date, CAST(DATE '1970-01-01' + CAST(CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * (o_orderkey % 20000) AS INTEGER) AS VARCHAR) AS micros FROM b",
+)
+def _(df):
+    """A panel's file rewritten where it is, twice, which changes nothing more."""
+    spark, path = df.sparkSession, _written(df.select("o_orderkey", "rebalance_date", "micros"))
+    for _ in range(2):
+        build.standardise(spark, path, ["date", "micros"], {"rebalance_date": "date"}, {"micros": "us"})
+    return spark.read.parquet(path)
+
+
+_TIED = f"SELECT event_id, CASE WHEN user_id % 11 = 0 THEN NULL ELSE user_id END AS user_id, CAST(ts AS DATE) AS day, CASE WHEN event_id % 13 = 1 THEN {_NAN} WHEN event_id % 13 = 2 THEN {_INF} WHEN event_id % 13 = 3 THEN NULL ELSE floor(value) END AS value FROM {{events}}"
+
+
+@query(
+    "ties_and_missing", _TIED,
+    f""", v AS (SELECT *, {_value('value')} AS x, {_fin('value')} AS y FROM b)
+    SELECT event_id, CASE WHEN user_id IS NOT NULL THEN CASE WHEN isinf(lag(x) OVER w) THEN -1e0 ELSE lag(x) OVER w END END AS lag1, CASE WHEN user_id IS NOT NULL AND row_number() OVER w >= 4 AND count(y) OVER r >= 2 THEN {steady_sql('avg(y) OVER r * 4')} END AS ttm,
+      CASE WHEN user_id IS NOT NULL AND y IS NOT NULL AND len(h) >= 3 AND len(list_distinct(h)) >= 2 THEN (len(list_filter(h, lambda q: q < y)) + len(list_filter(h, lambda q: q = y)) * 0.5e0) / len(h) - 0.5e0 END AS ts_rank
+    FROM (SELECT *, coalesce(list(y) FILTER (y IS NOT NULL) OVER (PARTITION BY user_id ORDER BY day, event_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), []) AS h FROM v) z
+    WINDOW w AS (PARTITION BY user_id ORDER BY day, event_id), r AS (PARTITION BY user_id ORDER BY day, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""",
+)
+def _(df):
+    """Rows of one day in the order of a further column; NaN, infinities and rows of no entity."""
+    df, ties = X.nan_to_null(df), ["event_id"]
+    lag = W.group_shift("value", 1, "user_id", "day", ties)
+    return df.select("event_id", F.when(F.abs(lag) == X.INFINITY, F.lit(-1.0)).otherwise(lag).alias("lag1"), steady(W.rolling_sum_4q("value", "user_id", "day", 2, ties)).alias("ttm"), K.rolling_ts_rank("value", 8, 3, "user_id", "day", ties).alias("ts_rank"))
+
+
 # The flagship -------------------------------------------------------------------------------------------------
 
 

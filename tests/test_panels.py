@@ -260,3 +260,76 @@ def test_build_quarterly(spark, tmp_path):
     report = {r.flag: r.hits for r in build.build_quarterly(spark, source, out).collect()}
     row = spark.read.parquet(out).first()
     assert report == {"ocf_dnu_flag": 1, "capex_dnu_flag": 0} and row.operating_cash_flow_ytd is None and row.capex_ytd == 1.0 and "ocf_dnu_flag" not in row
+
+
+def test_whole_numbers_of_any_unit(spark):
+    per = X.PER_DAY
+    for unit, n in per.items():
+        values = [0, 1, n - 1, n, -1, -n, -n - 1, 5 * n + n // 2]
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, n long")
+        got = column(df.select("i", X.as_date(df, "n", unit=unit).alias("d")), "d", "i")
+        assert got == [dt.date(1970, 1, 1) + dt.timedelta(days=v // n) for v in values], unit
+    last = spark.createDataFrame([(1577923199999999999,)], "n long")  # a nanosecond before 2020-01-02
+    assert last.select(X.as_date(last, "n").alias("d")).first().d == day("2020-01-01")
+
+
+def test_ts_rank_gathers_once(spark):
+    df = series(spark, [1.0, 2.0, 3.0])
+    plan = df.select(K.rolling_ts_rank("x", 2, 1).alias("r"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("collect_list(") == 1
+
+
+def test_ties_have_an_order(spark):
+    df = spark.createDataFrame([("a", 1, 3, 30.0), ("a", 1, 1, 10.0), ("a", 1, 2, 20.0), ("a", 2, 0, 40.0)], "security_id string, date int, row int, x double").repartition(3)
+    assert column(df.select("date", "row", W.group_shift("x", 1, ties=["row"]).alias("l")), "l", ["date", "row"]) == [None, 10.0, 20.0, 30.0]
+    assert column(df.select("date", "row", W.rolling_sum_4q("x", order="date", ties=["row"]).alias("l")), "l", ["date", "row"]) == [None, None, None, 100.0]
+
+
+def test_repeated_month_ends_raise(spark):
+    rows = [("a", "t", day("2020-01-31"), 24241, 0.0, 0), ("a", "t", day("2020-01-31"), 24241, 0.5, 0), ("b", "t", day("2020-01-31"), 24241, 0.0, 0)]
+    ends = spark.createDataFrame(rows, "security_id string, ticker string, date date, month int, cum_log_return double, cum_invalid long")
+    with pytest.raises(Exception, match="several rows at a month end of security a"):
+        targets.horizon_targets(ends, 1).collect()
+    assert targets.horizon_targets(ends.where("cum_log_return = 0"), 1).count() == 2
+
+
+def test_rewrite_puts_back(spark, tmp_path):
+    path = f"{tmp_path}/panel"
+    spark.range(3).write.parquet(path)
+    with pytest.raises(ZeroDivisionError):
+        io.rewrite_panel(spark, path, lambda df: 1 / 0)
+    assert spark.read.parquet(path).count() == 3
+    (tmp_path / "panel").rename(tmp_path / "panel.old-1234abcd")  # as if the program had ended between the two steps
+    io.rewrite_panel(spark, path, lambda df: df.where("id > 0"))
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir() if p.name.startswith("panel")] == ["panel"]
+
+
+def test_csv_on_any_file_system(spark, tmp_path):
+    io.missing_columns_csv(spark, f"file://{tmp_path}/deep/er/missing.csv", ["a", "ü", "b"], ["a"])
+    assert (tmp_path / "deep/er/missing.csv").read_bytes() == "missing_column\nü\nb\n".encode("utf-8-sig")
+
+
+def test_flags_by_family():
+    names = ["net_ppe_flag", "net_ppe_x_dnu_flag", "consensus_a_flag", "actuals_eps_outlier_flag", "revenue_imputed_flag", "revenue", "other_flag", "revenues_flag", "actuals_b_flag", "inventory_flag_note"]
+    assert [schema.flag_family(c) for c in names] == ["accounts", "accounts", "consensus", None, None, None, None, None, "actuals", None]
+    assert quality.do_not_use_targets(["x_a", "x_b_flag", "x_dnu_flag", "y", "y_z", "y_dnu_flag", "capex_increment", "capex_dnu_flag", "q_dnu_flag"]) == {"x_dnu_flag": ["x_a"], "y_dnu_flag": ["y"], "capex_dnu_flag": ["capex_increment"], "q_dnu_flag": []}
+
+
+def test_written_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(i % 7, i) for i in range(50)], "a int, b int").repartition(4)
+    io.write_panel(df, f"{tmp_path}/p", "a", "b")
+    rows = [tuple(r) for path in sorted((tmp_path / "p").glob("*.parquet")) for r in spark.read.parquet(str(path)).collect()]
+    assert rows == sorted(rows) and len(rows) == 50
+
+
+def test_bench_goes_on_after_an_error(monkeypatch, capsys, spark):
+    import json
+
+    import bench
+
+    monkeypatch.setattr(bench.entry_points, "queries", lambda: {"bad": lambda s, d: 1 / 0, "good": lambda s, d: s.range(3)})
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    with pytest.raises(SystemExit) as end:
+        bench.main([])
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert end.value.code == 1 and list(out["queries"]) == ["good"] and "ZeroDivisionError" in out["errors"]["bad"]
