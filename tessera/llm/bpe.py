@@ -54,7 +54,8 @@ class Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.bytes = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.known: Recent = Recent(max_cached)  # ids of chunks
+        self.recent = Recent(max_cached)
+        self.known: dict[str, bytes] = self.recent.now  # ids of chunks
         get = self.ranks.get
         merges = [(l << 32 | r, m) for t, m in self.ranks.items() for i in range(1, len(t)) if (l := get(t[:i])) is not None and (r := get(t[i:])) is not None]
         db = self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -148,7 +149,7 @@ class Coder:
         """Ids (little-endian unsigned 32-bit) of each text, and the bytes that these ids decode to."""
         split = [self._chunks(t) for t in texts]
         known = self.known
-        matches = {c: self.pattern.findall(c) for c in known.missing(set().union(*split))}
+        matches = {c: self.pattern.findall(c) for c in self.recent.missing(set().union(*split))}
         words = list(set().union(*matches.values()).difference(known))
         for i in range(0, len(words), 40_000):
             part = words[i : i + 40_000]

@@ -105,26 +105,27 @@ def texts_of(batch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-class Recent(dict):
+class Recent:
     """A cache of about ``max_cached`` entries that keeps the recently used half when it is full.
 
-    ``missing(wanted)`` makes room and gives those of ``wanted`` that have to be made; the others can
-    be looked up until it is called again."""
+    ``missing(wanted)`` makes room and gives those of ``wanted`` that have to be made and put into the
+    dictionary ``now``; the others can be looked up there until it is called again. It looks at
+    ``wanted`` only, not at what is cached, but for when it makes room."""
 
     def __init__(self, max_cached: int):
-        super().__init__()
-        self.half, self.before = max(1, max_cached // 2), {}
+        self.half, self.now, self.before = max(1, max_cached // 2), {}, {}
 
     def missing(self, wanted: set) -> set:
-        fresh = wanted.difference(self)
-        if len(self) + len(fresh) > self.half and len(self):
-            self.before = dict(self)
-            self.clear()
+        fresh = wanted.difference(self.now)
+        if self.now and len(self.now) + len(fresh) > self.half:
+            self.before = dict(self.now)
+            self.now.clear()
             fresh = wanted
-        if self.before:
-            again = fresh.intersection(self.before)
-            self.update(zip(again, map(self.before.__getitem__, again)))
-            fresh = fresh - again
+        if self.before and fresh:
+            before = self.before
+            again = {w: before[w] for w in fresh if w in before}
+            self.now.update(again)
+            fresh = fresh.difference(again)
         return fresh
 
 
@@ -149,12 +150,33 @@ def shipped(spark: SparkSession) -> None:
 ARROW_ROWS = 1000
 
 
+def _give_back() -> None:
+    """Return to the system what this worker has freed; workers live on between stages, two or more
+    beside one JVM, and the allocators would keep it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package; the session's batches are lowered to
-    ``ARROW_ROWS`` rows if they are larger."""
+    """``mapInArrow`` whose workers can import this package and give back memory after each task.
+
+    The session's Arrow batches are lowered to ``ARROW_ROWS`` rows if they are larger, and stay so, as
+    the frame runs later, when its caller asks for rows: both sides of the pipe hold a batch."""
     spark = df.sparkSession
     shipped(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(task, schema)

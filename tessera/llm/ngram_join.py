@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -65,7 +66,7 @@ class Shingler:
 
     def __init__(self, forest: Forest, max_cached: int = 200_000):
         rng = np.random.default_rng(forest.seed)
-        self.forest, self.cache = forest, Recent(max_cached)
+        self.forest, self.recent = forest, Recent(max_cached)
         self.places = rng.integers(1, 2**63, forest.n, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         size = forest.trees * forest.depth
         self.a = rng.integers(0, 2**31, size, np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -76,10 +77,11 @@ class Shingler:
         import xxhash
 
         split = [t.lower().encode().split() for t in texts]
-        for w in self.cache.missing(set().union(*split)):
-            self.cache[w] = xxhash.xxh3_64_intdigest(w)
+        cache = self.recent.now
+        for w in self.recent.missing(set().union(*split)):
+            cache[w] = xxhash.xxh3_64_intdigest(w)
         sizes = [len(w) for w in split]
-        flat = (self.cache[w] for words in split for w in words)
+        flat = map(cache.__getitem__, chain.from_iterable(split))
         return np.fromiter(flat, np.uint64, sum(sizes)), np.array(sizes, np.int64)
 
     def shingles(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -21,11 +21,12 @@ class ChunkEncoder:
     #: Ends of ASCII punctuation are matches of their own in the tokenizer's pattern.
     TAIL = re.compile(rb"^(.*[A-Za-z0-9])([.,!?;:%*#$&()\[\]{}|-]+)$")
 
-    def __init__(self, path: str, max_cached: int = 800_000):
+    def __init__(self, path: str, max_cached: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: Recent = Recent(max_cached)  # ids of chunks
+        self.recent = Recent(max_cached)
+        self.known: dict[bytes, bytes] = self.recent.now  # ids of chunks
         tokens = self.library.get_vocab()
         self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
         self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
@@ -64,7 +65,7 @@ class ChunkEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         # ASCII letters are lower-cased anyway; a special token's spelling must not arise by it.
         split = [(t.encode().lower() if t.isascii() and "<|" not in t else t.encode()).split() for t in texts]
-        self.add(self.known.missing(set().union(*split)))
+        self.add(self.recent.missing(set().union(*split)))
         known = self.known.__getitem__
         return [b"".join(map(known, chunks)) for chunks in split]
 

@@ -40,7 +40,8 @@ class PrefixCounter:
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(len(sp)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
         self.longest = max(map(len, self.scores))
         self.max_cached = max_cached
-        self.words = Recent(max_cached)
+        self.recent = Recent(max_cached)
+        self.words: dict[str, bytes] = self.recent.now
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         # For tables of many words at once: pieces by number, and a trie of the reversed pieces,
@@ -197,7 +198,7 @@ class PrefixCounter:
 
     def add(self, texts: list[str]) -> None:
         """Makes the tables of the words of ``texts`` that are not cached."""
-        fresh = self.words.missing(set().union(*[t.replace(SPACE, " ").split(" ") for t in texts if t]))
+        fresh = self.recent.missing(set().union(*[t.replace(SPACE, " ").split(" ") for t in texts if t]))
         fresh = sorted((w for w in fresh if len(w) <= LONG_WORD), key=len)
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]

@@ -55,13 +55,13 @@ class Terms:
     """Distinct words of texts, and their terms from a bounded cache."""
 
     def __init__(self, bits: int, known: np.ndarray | None = None, max_cached: int = 200_000):
-        self.bits, self.cache = bits, Recent(max_cached)
+        self.bits, self.recent = bits, Recent(max_cached)
         self.at = None if known is None else {int(t): i for i, t in enumerate(known)}
 
     def of(self, text: str) -> np.ndarray:
         """Distinct hashed terms, or with a model's terms their positions, ascending."""
-        cache, words = self.cache, set(text.lower().split())
-        for word in cache.missing(words):
+        cache, words = self.recent.now, set(text.lower().split())
+        for word in self.recent.missing(words):
             bare = word.strip(TRIM)
             terms = hashed_terms(bare, self.bits) if bare else ()
             cache[word] = terms if self.at is None else tuple(self.at[t] for t in terms if t in self.at)
