@@ -301,7 +301,7 @@ def ngram_join(docs: DataFrame, forest: Forest | None = None, block: int = 512,
         import pyarrow as pa
 
         shingler = Shingler(forest)
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=1 << 20):  # words and n-grams are many times the text
             words, sizes = shingler.words(texts_of(batch))
             k1, k2 = shingler.text_keys(words, sizes)
             grams, counts = shingler.shingles(words, sizes)
@@ -365,7 +365,7 @@ def _round(docs: DataFrame, classes: DataFrame, seen: list[DataFrame], prefix: i
         import pyarrow as pa
 
         shingler = Shingler(forest)
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=1 << 20):  # words and n-grams are many times the text
             words, sizes = shingler.words(texts_of(batch))
             k1, k2 = shingler.text_keys(words, sizes)
             grams, counts = shingler.shingles(words, sizes)

@@ -21,7 +21,7 @@ class ChunkEncoder:
     #: Ends of ASCII punctuation are matches of their own in the tokenizer's pattern.
     TAIL = re.compile(rb"^(.*[A-Za-z0-9])([.,!?;:%*#$&()\[\]{}|-]+)$")
 
-    def __init__(self, path: str, max_cached: int = 400_000):
+    def __init__(self, path: str, max_cached: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -238,7 +238,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=1 << 20):
             kind = batch.column("doc_id").type
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), coder.encode(texts_of(batch))):
                 waiting[number] = (doc_id, data + end)
