@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, arrow_map, slices, texts_of
+from .common import Recent, arrow_map, kept, slices, texts_of
 
 #: Token-position rows (w: word, p: position, id, nx: the next row's id) meet the merge table; of
 #: each word the pair of least rank, the leftmost of equals, becomes one token, until no word has a
@@ -177,13 +177,8 @@ class Coder:
         return out
 
 
-_CODERS: dict[tuple[str, str], Coder] = {}
-
-
 def coder(path: str, pattern: str) -> Coder:
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = Coder(path, pattern)
-    return _CODERS[path, pattern]
+    return kept(("bytes", path, pattern), lambda: Coder(path, pattern))
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, digests: bool = False) -> DataFrame:
@@ -211,7 +206,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, digests: bool =
 
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     docs = docs.select(F.col("doc_id"), F.col("text"))
-    return arrow_map(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, " + ", ".join(f"{n} {'string' if digests else 'binary'}" for n in names))
+    return arrow_map(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, " + ", ".join(f"{n} {'string' if digests else 'binary'}" for n in names), keeps=True)
 
 
 def decode_documents(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -227,7 +222,7 @@ def decode_documents(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(c.decode([x or b"" for x in batch.column("ids").to_pylist()]), pa.binary())], names=["doc_id", "decoded"])
 
     rows = rows.select("doc_id", "ids")
-    return arrow_map(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, decoded binary")
+    return arrow_map(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, decoded binary", keeps=True)
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

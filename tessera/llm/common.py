@@ -164,7 +164,19 @@ def _give_back() -> None:
         trim(0)
 
 
-def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a worker keeps from one task to the next, as a tokenizer with its cache of words. One thing
+    only: it goes when a task needs another, or comes from an operator that keeps nothing."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def arrow_map(df: DataFrame, run, schema, keeps: bool = False) -> DataFrame:
     """``mapInArrow`` whose workers can import this package and give back memory after each task.
 
     The session's Arrow batches are lowered to ``ARROW_ROWS`` rows if they are larger, and stay so, as
@@ -176,6 +188,8 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
         spark.conf.set(key, str(ARROW_ROWS))
 
     def task(batches):
+        if not keeps:
+            _KEPT.clear()
         yield from run(batches)
         _give_back()
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, arrow_map, slices, texts_of
+from .common import Recent, arrow_map, kept, slices, texts_of
 
 
 class ChunkEncoder:
@@ -21,7 +21,7 @@ class ChunkEncoder:
     #: Ends of ASCII punctuation are matches of their own in the tokenizer's pattern.
     TAIL = re.compile(rb"^(.*[A-Za-z0-9])([.,!?;:%*#$&()\[\]{}|-]+)$")
 
-    def __init__(self, path: str, max_cached: int = 300_000):
+    def __init__(self, path: str, max_cached: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -180,13 +180,8 @@ class Packer:
         self.held, self.tokens = [], 0
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return kept(("words", path), lambda: ChunkEncoder(path))
 
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -248,7 +243,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         yield from rows(list(packer.finish()))
 
     docs = docs.select(F.col("doc_id"), F.col("text"))
-    return arrow_map(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, {PIECES}" + ", ids binary" * with_ids)
+    return arrow_map(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, {PIECES}" + ", ids binary" * with_ids, keeps=True)
 
 
 def op2_kk_packing(spark, sf_dir: str) -> DataFrame:

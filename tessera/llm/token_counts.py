@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, arrow_map, slices, texts_of
+from .common import Recent, arrow_map, kept, slices, texts_of
 
 SPACE = "▁"
 #: Tables of longer words are made one by one and not cached.
@@ -246,13 +246,8 @@ def longest_within(store: bytes, budget: int) -> int:
     return int(np.flatnonzero(prefix_counts(store) <= budget)[-1])
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(model: str) -> PrefixCounter:
-    if model not in _COUNTERS:
-        _COUNTERS[model] = PrefixCounter(model)
-    return _COUNTERS[model]
+    return kept(("prefixes", model), lambda: PrefixCounter(model))
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", store: bool = True) -> DataFrame:
@@ -282,7 +277,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    return arrow_map(docs, run, f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefix_store binary" * store)
+    return arrow_map(docs, run, f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefix_store binary" * store, keeps=True)
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
