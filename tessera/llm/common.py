@@ -188,6 +188,8 @@ def arrow_map(df: DataFrame, run, schema, keeps: bool = False) -> DataFrame:
         spark.conf.set(key, str(ARROW_ROWS))
 
     def task(batches):
+        from tessera.llm.common import _KEPT  # the worker's own
+
         if not keeps:
             _KEPT.clear()
         yield from run(batches)
