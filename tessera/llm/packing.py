@@ -33,32 +33,41 @@ class ChunkEncoder:
 
     def add(self, chunks: set[bytes]) -> None:
         known, match = self.known, self.TAIL.match
-        stems = {c: m.groups() for c in chunks if (m := match(c)) and b"<|" not in c}
-        fresh = [c for c in (chunks - stems.keys()).union(*stems.values()) if c not in known]
-        words, others = [], []
-        for c in fresh:
-            (words if (t := c.decode()).isalpha() else others).append((c, t))
-        for i in range(0, len(words), 2000):
-            self._add_words(words[i : i + 2000])
-        for i in range(0, len(others), 2000):
-            self._add_each(others[i : i + 2000])
-        for c, (stem, tail) in stems.items():
+        words, others, stems, again = [], [], [], set()
+        for c in chunks:
+            if c.isalpha():  # ASCII letters: the most, and no tail to look for
+                words.append(c)
+            elif (m := match(c)) and b"<|" not in c:
+                stems.append((c, *m.groups()))
+            else:
+                others.append(c)
+        for _, stem, tail in stems:
+            again.add(stem)
+            again.add(tail)
+        for c in again.difference(known).difference(chunks):
+            (words if c.isalpha() else others).append(c)
+        each = []
+        for c in others:
+            (words if not c.isascii() and c.decode().isalpha() else each).append(c)
+        for i in range(0, len(words), 4000):
+            self._add_words(words[i : i + 4000])
+        for i in range(0, len(each), 4000):
+            self._add_each(each[i : i + 4000])
+        for c, stem, tail in stems:
             known[c] = known[stem] + known[tail]
 
-    def _add_words(self, part: list[tuple[bytes, str]]) -> None:
+    def _add_words(self, part: list[bytes]) -> None:
         """Words of letters only are one match each, so one call takes many of them: every match
         ends in a token with the end-of-word mark."""
-        ids = np.array(self.library.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.library.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
         if len(ends) != len(part):  # a letter that is taken apart in normalisation
             return self._add_each(part)
-        data, begin = ids.tobytes(), 0
-        for (c, _), end in zip(part, ends):
-            self.known[c] = data[begin:end]
-            begin = end
+        data = ids.tobytes()
+        self.known.update(zip(part, [data[i:j] for i, j in zip([0, *ends], ends)]))
 
-    def _add_each(self, part: list[tuple[bytes, str]]) -> None:
-        for (c, _), e in zip(part, self.library.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
+    def _add_each(self, part: list[bytes]) -> None:
+        for c, e in zip(part, self.library.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
             self.known[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
