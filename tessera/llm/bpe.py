@@ -45,7 +45,7 @@ class Coder:
     #: contracted by the same rule with a priority queue.
     LONG = 512
 
-    def __init__(self, path: str, pattern: str, max_cached: int = 800_000):
+    def __init__(self, path: str, pattern: str, max_cached: int = 600_000):
         import duckdb
         import pyarrow as pa
         import regex

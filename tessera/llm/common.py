@@ -106,26 +106,31 @@ def texts_of(batch, column: str = "text") -> list[str]:
 
 
 class Recent:
-    """A cache of about ``max_cached`` entries that keeps the recently used half when it is full.
+    """A cache of about ``max_cached`` entries that keeps, when it is full, what the next ``calls``
+    calls ask for.
 
     ``missing(wanted)`` makes room and gives those of ``wanted`` that have to be made and put into the
     dictionary ``now``; the others can be looked up there until it is called again. It looks at
     ``wanted`` only, not at what is cached, but for when it makes room."""
 
-    def __init__(self, max_cached: int):
-        self.half, self.now, self.before = max(1, max_cached // 2), {}, {}
+    def __init__(self, max_cached: int, calls: int = 16):
+        self.max_cached, self.calls, self.left = max_cached, calls, 0
+        self.now, self.before = {}, {}
 
     def missing(self, wanted: set) -> set:
         fresh = wanted.difference(self.now)
-        if self.now and len(self.now) + len(fresh) > self.half:
-            self.before = dict(self.now)
+        if self.now and len(self.now) + len(fresh) > self.max_cached:
+            self.before, self.left = dict(self.now), self.calls
             self.now.clear()
             fresh = wanted
-        if self.before and fresh:
+        if self.before:
             before = self.before
             again = {w: before[w] for w in fresh if w in before}
             self.now.update(again)
             fresh = fresh.difference(again)
+            self.left -= 1
+            if self.left < 0:
+                self.before = {}
         return fresh
 
 

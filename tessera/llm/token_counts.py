@@ -32,7 +32,7 @@ class PrefixCounter:
     for each code point.
     """
 
-    def __init__(self, model: str, max_cached: int = 600_000):
+    def __init__(self, model: str, max_cached: int = 500_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)

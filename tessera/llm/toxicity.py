@@ -55,7 +55,7 @@ class Terms:
     """Distinct words of texts, and their terms from a bounded cache."""
 
     def __init__(self, bits: int, known: np.ndarray | None = None, max_cached: int = 100_000):
-        self.bits, self.recent = bits, Recent(max_cached)
+        self.bits, self.recent = bits, Recent(max_cached, 2000)
         self.at = None if known is None else {int(t): i for i, t in enumerate(known)}
 
     def of(self, text: str) -> np.ndarray:
