@@ -10,73 +10,193 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, arrow_map, kept, slices, texts_of
+from .common import Recent, arrow_map, kept, slices
+
+
+class Contraction:
+    """Byte-level BPE with an end-of-word mark, for many words at once.
+
+    A matrix holds the words that have equally many tokens, a column for each. A step contracts the
+    leftmost pair of least rank in every word, so all of them go over to the matrix of one token
+    less, where the words that begin with as many bytes join them; words without a pair are done.
+    """
+
+    #: Bytes of a word at most: a pair's rank and place share a number.
+    LONGEST = 64
+
+    def __init__(self, library):
+        import json
+
+        from tokenizers import pre_tokenizers
+
+        model = json.loads(library.to_str())["model"]
+        ids, mark = model["vocab"], model["end_of_word_suffix"]
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # Bytes 0 to 127 and the lead and following bytes of letters up to U+024F.
+        sign = {x: alphabet.pre_tokenize_str(chr(x))[0][0][-1] for x in range(128)}
+        for x in range(0x80, 0x250):
+            sign.update(zip(chr(x).encode(), alphabet.pre_tokenize_str(chr(x))[0][0]))
+        self.first, self.last = np.zeros(256, np.int32), np.zeros(256, np.int32)
+        for x, char in sign.items():
+            self.first[x], self.last[x] = ids[char], ids[char + mark]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.base = len(ids)
+        pairs = np.array([ids[a] * self.base + ids[b] for a, b in merges], np.int64)
+        order = pairs.argsort()
+        # The last entry stands for a pair that is not to be merged, which has the highest rank.
+        self.none = len(merges)
+        self.pairs = np.append(pairs[order], np.iinfo(np.int64).max)
+        self.rank = np.append(order, self.none).astype(np.int32) * self.LONGEST
+        self.made = np.array([ids[a + b] for a, b in merges], np.int32)
+        # Ranks of pairs of bytes, the second of which may end the word.
+        both = np.concatenate([self.first, self.last])
+        self.bytes = self.ranks(np.repeat(self.first, 512), np.tile(both, 256))
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left.astype(np.int64) * self.base + right
+        at = self.pairs.searchsorted(wanted)
+        return np.where(self.pairs[at] == wanted, self.rank[at], self.none * self.LONGEST)
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """Ids, as little-endian unsigned 32-bit, of words of 1 to ``LONGEST`` bytes."""
+        out: list = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable")
+        data = np.frombuffer(b"".join([words[i] for i in order.tolist()]), np.uint8)
+        ends, sizes = np.cumsum(sizes[order]), sizes[order]
+        begun, names = 0, order[:0]
+        tokens = ranks = None
+        for size in range(int(sizes[0]) if words else 0, 0, -1):
+            until = int(np.searchsorted(-sizes, -size, side="right"))
+            if until > begun:
+                block = np.ascontiguousarray(data[ends[begun] - size : ends[until - 1]].reshape(-1, size).T)
+                own = self.first[block]
+                own[-1] = self.last[block[-1]]
+                pairs = block[:-1].astype(np.int32) * 512 + block[1:]
+                pairs[-1:] += 256
+                own_ranks = self.bytes[pairs] + np.arange(size - 1, dtype=np.int32)[:, None]
+                if len(names):
+                    own = np.concatenate([tokens, own], axis=1)
+                    own_ranks = np.concatenate([ranks, own_ranks], axis=1)
+                tokens, ranks = own, own_ranks
+                names, begun = np.concatenate([names, order[begun:until]]), until
+            if not len(names):
+                continue
+            least = ranks.min(axis=0) if size > 1 else np.full(len(names), self.none * self.LONGEST)
+            best = least // self.LONGEST
+            done = best == self.none
+            if done.any():
+                found = tokens[:, done].T.astype("<u4").tobytes()
+                for i, name in enumerate(names[done].tolist()):
+                    out[name] = found[4 * size * i : 4 * size * (i + 1)]
+                live = (~done).nonzero()[0]
+                names, least, best = names[live], least[live], best[live]
+                if not len(live):
+                    continue
+                tokens, ranks = tokens.take(live, axis=1), ranks.take(live, axis=1)
+            at = least % self.LONGEST
+            tokens[at, np.arange(len(at))] = self.made[best]
+            before = np.arange(size - 1, dtype=at.dtype)[:, None] <= at
+            tokens = np.where(before, tokens[:-1], tokens[1:])
+            ranks = np.where(before[:-1], ranks[:-1], ranks[1:] - 1)
+            has = (at > 0).nonzero()[0]
+            x = at[has]
+            ranks[x - 1, has] = self.ranks(tokens[x - 1, has], tokens[x, has]) + (x - 1)
+            has = (at < size - 2).nonzero()[0]
+            x = at[has]
+            ranks[x, has] = self.ranks(tokens[x, has], tokens[x + 1, has]) + x
+        return out
 
 
 class ChunkEncoder:
     """Ids of a ``tokenizers`` file whose pre-tokenizer never joins what white space separates:
-    a text's ids are those of its chunks, and each distinct chunk is encoded once by the library
-    (a bounded cache that keeps the chunks used of late)."""
+    a text's ids are those of its chunks, and each distinct chunk is encoded once (a bounded cache
+    that keeps the chunks used of late). Words of Latin letters are one match each and go through
+    ``Contraction``, all new ones of a batch at once; the library encodes the others."""
 
     #: Ends of ASCII punctuation are matches of their own in the tokenizer's pattern.
-    TAIL = re.compile(rb"^(.*[A-Za-z0-9])([.,!?;:%*#$&()\[\]{}|-]+)$")
+    TAIL = re.compile(rb"^(.*[A-Za-z0-9\x80-\xff])([.,!?;:%*#$&()\[\]{}|-]+)$")
+    #: Longer words go to the library.
+    LONGEST = Contraction.LONGEST - 8
 
     def __init__(self, path: str, max_cached: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.contract = Contraction(self.library)
         self.recent = Recent(max_cached)
         self.known: dict[bytes, bytes] = self.recent.now  # ids of chunks
-        tokens = self.library.get_vocab()
-        self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
-        self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+
+    def word(self, chunk: bytes) -> bytes | None:
+        """The chunk as normalised, if it is a short word of letters up to U+024F, where lower case
+        goes by letters and nothing composes; else None."""
+        if len(chunk) > self.LONGEST:
+            return None
+        if chunk.isascii():
+            return chunk.lower() if chunk.isalpha() else None
+        text = chunk.decode()
+        if text.isalpha() and max(text) < "\u0250":
+            text = text.lower()
+            if text.isalpha() and max(text) < "\u0250":
+                return text.encode()
+        return None
 
     def add(self, chunks: set[bytes]) -> None:
-        known, match = self.known, self.TAIL.match
-        words, others, stems, again = [], [], [], set()
-        for c in chunks:
-            if c.isalpha():  # ASCII letters: the most, and no tail to look for
-                words.append(c)
-            elif (m := match(c)) and b"<|" not in c:
-                stems.append((c, *m.groups()))
+        known, match, word, longest = self.known, self.TAIL.match, self.word, self.LONGEST
+        words, given, others, stems, more = [], [], [], [], set()
+
+        def sort(c):
+            if w := word(c):
+                words.append(w)
+                given.append(c)
             else:
                 others.append(c)
-        for _, stem, tail in stems:
-            again.add(stem)
-            again.add(tail)
-        for c in again.difference(known).difference(chunks):
-            (words if c.isalpha() else others).append(c)
-        each = []
-        for c in others:
-            (words if not c.isascii() and c.decode().isalpha() else each).append(c)
-        for i in range(0, len(words), 4000):
-            self._add_words(words[i : i + 4000])
-        for i in range(0, len(each), 4000):
-            self._add_each(each[i : i + 4000])
+
+        for c in chunks:
+            if c.isalpha() and len(c) <= longest:  # ASCII letters: the most, and no tail to look for
+                words.append(c.lower())
+                given.append(c)
+            elif (m := match(c)) and b"<|" not in c and (m[1][-1] < 128 or m[1].decode()[-1].isalpha()):
+                stem, tail = m.groups()
+                stems.append((c, stem, tail))
+                more.add(stem)
+                more.add(tail)
+            else:
+                sort(c)
+        for c in more:
+            if c not in known and c not in chunks:
+                sort(c)
+        known.update(zip(given, self.contract(words)))
+        for i in range(0, len(others), 4000):
+            part = others[i : i + 4000]
+            for c, e in zip(part, self.library.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
+                known[c] = np.array(e.ids, "<u4").tobytes()
         for c, stem, tail in stems:
             known[c] = known[stem] + known[tail]
 
-    def _add_words(self, part: list[bytes]) -> None:
-        """Words of letters only are one match each, so one call takes many of them: every match
-        ends in a token with the end-of-word mark."""
-        ids = np.array(self.library.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-        if len(ends) != len(part):  # a letter that is taken apart in normalisation
-            return self._add_each(part)
-        data = ids.tobytes()
-        self.known.update(zip(part, [data[i:j] for i, j in zip([0, *ends], ends)]))
-
-    def _add_each(self, part: list[bytes]) -> None:
-        for c, e in zip(part, self.library.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def encode(self, texts) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text of a list or an Arrow array (null: empty)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         # ASCII letters are lower-cased anyway; a special token's spelling must not arise by it.
-        split = [(t.encode().lower() if t.isascii() and "<|" not in t else t.encode()).split() for t in texts]
-        self.add(self.recent.missing(set().union(*split)))
-        known = self.known.__getitem__
-        return [b"".join(map(known, chunks)) for chunks in split]
+        plain = pc.and_not(pc.string_is_ascii(texts), pc.match_substring(texts, "<|"))
+        split = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(texts), texts))
+        ends = split.offsets.to_numpy()
+        chunks = split.flatten().dictionary_encode()
+        distinct = chunks.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.add(self.recent.missing(set(distinct)))
+        each = list(map(self.known.__getitem__, distinct))
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        begins, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), "<u4")
+        which = chunks.indices.to_numpy()
+        at = np.concatenate([[0], np.cumsum(sizes[which])])
+        # Each token's place among the ids of the distinct chunks.
+        place = np.repeat(begins[which] - at[:-1], sizes[which])
+        place += np.arange(at[-1])
+        data, at = ids[place].tobytes(), (4 * at[ends]).tolist()
+        return [data[i:j] for i, j in zip(at, at[1:])]
 
 
 def differencing(sizes: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,9 +362,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for batch in slices(batches, max_bytes=1 << 20):
+        for batch in slices(batches):
             kind = batch.column("doc_id").type
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), coder.encode(texts_of(batch))):
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
                 waiting[number] = (doc_id, data + end)
                 found = list(packer.add(number, len(data) // 4 + 1))
                 number += 1

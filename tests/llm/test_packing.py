@@ -80,3 +80,21 @@ def test_finish_uses_powers_of_two():
         size[sequence] += n
     assert sum(size.values()) == 2103
     assert all(n & (n - 1) == 0 or n > 1980 for n in size.values())
+
+
+def test_contraction_is_the_library():
+    import random
+
+    draw = random.Random(5)
+    letters = "etaoinshrdluéüßñøœčżłßıſ"
+    words = {"".join(draw.choices(letters, k=draw.randint(1, 24))) for _ in range(4000)}
+    words |= {t.removesuffix("</w>") for t in LIBRARY.get_vocab() if t.isascii() and t.removesuffix("</w>").isalpha()}
+    words |= {"a" * 56, "ab" * 28, "é" * 28, "the" * 18, "a" * 57, "é" * 29, "x"}
+    words = [w.lower().encode() for w in words]
+    coder = P.ChunkEncoder(PATH)
+    short = [w for w in words if len(w) <= P.Contraction.LONGEST]
+    want = {w: e.ids for w, e in zip(words, LIBRARY.encode_batch([w.decode() for w in words], add_special_tokens=False))}
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.contract(short)] == [want[w] for w in short]
+    assert coder.contract([]) == []
+    mixed = ["É Éa, ÉCOLE!! İstanbul, ŁÓDŹ. ét, ǅa. ǆ, ſt' ß) a̸, ª º,", None, "", " \n", "\x1c a"]
+    assert [x + b"\x01\0\0\0" for x in coder.encode(mixed)] == [ids(t) for t in mixed]
