@@ -6,7 +6,6 @@ import base64
 import hashlib
 import heapq
 import re
-from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,23 +13,23 @@ from pyspark.sql import functions as F
 
 from .common import Recent, arrow_map, kept, slices, texts_of
 
-#: Token-position rows (w: word, p: position, id, nx: the next row's id) meet the merge table; of
-#: each word the pair of least rank, the leftmost of equals, becomes one token, until no word has a
-#: pair to contract. A word's last iteration is its encoding; the bytes of its ids, aggregated in
-#: order, are its decoding.
+#: Token-position rows (w: word, p: position, np: the next row's position, id, nx: the next row's id)
+#: meet the merge table; of each word the pair of least rank, the leftmost of equals, becomes one
+#: token, until no word has a pair to contract: the second row of the pair takes the first one's place
+#: and the new id, and the row before learns that id. A word's last iteration is its encoding; the
+#: bytes of a document's ids, aggregated in order, are its decoding.
 ENCODE = """
-WITH RECURSIVE state(i, w, p, id, nx) AS (
-  SELECT 0, t.w, t.p, t.id, t.nx FROM token t
+WITH RECURSIVE state(i, w, p, np, id, nx) AS (
+  SELECT 0, t.w, t.p, t.np, t.id, t.nx FROM token t
   UNION ALL
-  (WITH a AS MATERIALIZED (SELECT i, w, p, id, nx FROM state),
-  least AS (SELECT w, min((m::BIGINT << 32) | p) AS best FROM a JOIN merge ON lr = (id::BIGINT << 32) | nx GROUP BY w),
-  c AS (SELECT i, w, p, id, nx, (best & 4294967295)::INTEGER AS spot, (best >> 32)::INTEGER AS made FROM a JOIN least USING (w)),
-  near AS (SELECT w, min(p) FILTER (p > spot) AS gone, max(p) FILTER (p < spot) AS prev, arg_min(coalesce(nx, -1), p) FILTER (p > spot) AS follows FROM c GROUP BY w)
-  SELECT i + 1, w, p, CASE WHEN p = spot THEN made ELSE id END, CASE WHEN p = prev THEN made WHEN p = spot THEN follows ELSE nx END
-  FROM c JOIN near USING (w) WHERE p <> gone)
+  (WITH a AS MATERIALIZED (SELECT i, w, p, np, id, nx FROM state),
+  least AS (SELECT w, min((m::BIGINT << 32) | (p << 16) | np) AS best FROM a JOIN merge ON lr = (id::BIGINT << 32) | nx GROUP BY w),
+  pair AS (SELECT w, (best >> 32)::INTEGER AS made, ((best >> 16) & 65535)::INTEGER AS first, (best & 65535)::INTEGER AS second FROM least)
+  SELECT i + 1, w, CASE WHEN p = second THEN first ELSE p END, np, CASE WHEN p = second THEN made ELSE id END, CASE WHEN np = first THEN made ELSE nx END
+  FROM a JOIN pair USING (w) WHERE p <> first)
 ), ended AS (SELECT w, max(i) AS i FROM state GROUP BY w), final AS MATERIALIZED (SELECT w, p, id FROM state JOIN ended USING (w, i))
 """
-IDS = ENCODE + "SELECT w, list(id ORDER BY p) AS ids, string_agg(digits, '' ORDER BY p) AS decoded FROM final JOIN vocabulary USING (id) GROUP BY w"
+IDS = ENCODE + "SELECT w, list(id ORDER BY p) AS ids FROM final GROUP BY w"
 WHOLE = "SELECT word.w, id FROM word JOIN vocabulary USING (bytes) ORDER BY word.w"
 DECODE = """
 SELECT d, count(*) AS many, string_agg(digits, '' ORDER BY p) AS decoded FROM ids JOIN vocabulary USING (id) GROUP BY d ORDER BY d
@@ -69,27 +68,28 @@ class Coder:
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
     def _query(self, sql: str, **tables):
+        """The result as an Arrow table."""
         for name, rows in tables.items():
             self.db.register(name, rows)
         try:
-            return self.db.execute(sql).fetchall()
+            return self.db.sql(sql).to_arrow_table()
         finally:
             for name in tables:
                 self.db.unregister(name)
 
-    def _contract(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian unsigned 32-bit) and decoded bytes of each word."""
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        """Ids (little-endian unsigned 32-bit) of each word."""
         import pyarrow as pa
 
         out: list = [None] * len(words)
         numbers = pa.array(range(len(words)), pa.int32())
-        for w, i in self._query(WHOLE, word=pa.table({"w": numbers, "bytes": pa.array(words, pa.binary())})):
-            out[w] = (i.to_bytes(4, "little"), self.bytes[i])
+        whole = self._query(WHOLE, word=pa.table({"w": numbers, "bytes": pa.array(words, pa.binary())}))
+        for w, i in zip(whole.column("w").to_pylist(), whole.column("id").to_pylist()):
+            out[w] = i.to_bytes(4, "little")
         rest, rows = [], 0
         for w in (w for w, done in enumerate(out) if done is None):
             if len(words[w]) > self.LONG:
-                ids = self._long(words[w])
-                out[w] = (np.array(ids, "<u4").tobytes(), b"".join(self.bytes[i] for i in ids))
+                out[w] = np.array(self._long(words[w]), "<u4").tobytes()
                 continue
             rest.append(w)
             rows += len(words[w]) ** 2
@@ -108,9 +108,14 @@ class Coder:
         ids = self.single[np.frombuffer(b"".join([words[w] for w in rest]), np.uint8)]
         follows = np.concatenate([ids[1:], np.array([-1], np.int32)])
         follows[begins + sizes - 1] = -1
-        token = pa.table({"w": np.repeat(np.array(rest, np.int32), sizes), "p": (np.arange(sizes.sum()) - np.repeat(begins, sizes)).astype(np.int32), "id": ids, "nx": follows})
-        for w, ids, decoded in self._query(IDS, token=token):
-            out[w] = (array("I", ids).tobytes(), bytes.fromhex(decoded))
+        places = (np.arange(sizes.sum()) - np.repeat(begins, sizes)).astype(np.int32)
+        token = pa.table({"w": np.repeat(np.array(rest, np.int32), sizes), "p": places, "np": places + np.int32(1), "id": ids, "nx": follows})
+        for part in self._query(IDS, token=token).to_batches():
+            lists = part.column("ids")
+            ends = (np.cumsum(lists.value_lengths().to_numpy()) * 4).tolist()
+            ids = lists.flatten().to_numpy().astype("<u4").tobytes()
+            for w, begin, end in zip(part.column("w").to_pylist(), [0, *ends], ends):
+                out[w] = ids[begin:end]
 
     def _long(self, word: bytes) -> list[int]:
         ids = self.single[np.frombuffer(word, np.uint8)].tolist()
@@ -149,12 +154,12 @@ class Coder:
         """Ids (little-endian unsigned 32-bit) of each text, and the bytes that these ids decode to."""
         split = [self._chunks(t) for t in texts]
         known = self.known
-        matches = {c: self.pattern.findall(c) for c in self.recent.missing(set().union(*split))}
+        # Letters after a space or none are one match; only ASCII ones here, which all versions of Unicode agree on.
+        matches = {c: [c] if c.isascii() and c.removeprefix(" ").isalpha() else self.pattern.findall(c) for c in self.recent.missing(set().union(*split))}
         words = list(set().union(*matches.values()).difference(known))
         for i in range(0, len(words), 40_000):
             part = words[i : i + 40_000]
-            for w, (ids, _) in zip(part, self._contract([w.encode() for w in part])):
-                known[w] = ids
+            known.update(zip(part, self._contract([w.encode() for w in part])))
         for c, found in matches.items():
             if len(found) != 1:
                 known[c] = b"".join([known[w] for w in found])
@@ -168,7 +173,8 @@ class Coder:
         arrays = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
         rows = pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), [len(a) for a in arrays]), "p": np.concatenate([np.arange(len(a), dtype=np.int32) for a in arrays] or [np.zeros(0, np.int32)]), "id": np.concatenate(arrays or [np.zeros(0, np.int32)])})
         out = [b""] * len(ids)
-        for d, many, decoded in self._query(DECODE, ids=rows):
+        found = self._query(DECODE, ids=rows)
+        for d, many, decoded in zip(*(found.column(c).to_pylist() for c in ("d", "many", "decoded"))):
             if many != len(arrays[d]):
                 raise ValueError("an id is not in the vocabulary")
             out[d] = bytes.fromhex(decoded)

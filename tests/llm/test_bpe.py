@@ -59,7 +59,7 @@ def test_long_words_follow_the_same_rule():
         word = "".join(rng.choice(list("abelnorst"), n)).encode()
         out = [None]
         CODER._recursive([word], [0], out)
-        assert np.frombuffer(out[0][0], "<u4").tolist() == CODER._long(word)
+        assert np.frombuffer(out[0], "<u4").tolist() == CODER._long(word)
 
 
 def test_table(spark, sf_dir):
