@@ -155,7 +155,7 @@ def shipped(spark: SparkSession) -> None:
 ARROW_ROWS = 1000
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return to the system what this worker has freed; workers live on between stages, two or more
     beside one JVM, and the allocators would keep it."""
     import ctypes
@@ -198,6 +198,6 @@ def arrow_map(df: DataFrame, run, schema, keeps: bool = False) -> DataFrame:
         if not keeps:
             _KEPT.clear()
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(task, schema)

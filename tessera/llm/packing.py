@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, arrow_map, kept, slices
+from .common import arrow_map, give_back, kept, slices
 
 
 class Contraction:
@@ -108,24 +108,97 @@ class Contraction:
         return out
 
 
+class Cached:
+    """Token ids of byte strings, in a few flat arrays: tens of bytes an entry where a dictionary of
+    bytes takes 300. Entries are found by their hash in a sorted array and compared in full.
+
+    Beyond ``max_cached`` entries or ``max_bytes`` of strings and ids, ``trim`` keeps those used last,
+    up to half of either. An entry's number holds until then."""
+
+    def __init__(self, max_cached: int, max_bytes: int):
+        self.max_cached, self.max_bytes, self.calls = max_cached, max_bytes, 0
+        self.text, self.ids = np.empty(0, np.uint8), np.empty(0, "<u4")
+        # Ends of each entry's bytes and ids, after a 0, and the call that used it last.
+        self.text_at, self.ids_at, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.int32)
+        self.hashes, self.entry = np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.used)
+
+    def find(self, keys: list[bytes]) -> np.ndarray:
+        """The entry of each key, -1 without one."""
+        self.calls += 1
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self) or not keys:
+            return out
+        wanted = np.fromiter(map(hash, keys), np.int64, len(keys))
+        sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+        at = np.minimum(self.hashes.searchsorted(wanted), len(self) - 1)
+        entry = self.entry[at].astype(np.int64)
+        begin = self.text_at[entry]
+        hit = ((self.hashes[at] == wanted) & (self.text_at[entry + 1] - begin == sizes)).nonzero()[0]
+        data = np.frombuffer(b"".join([keys[i] for i in hit.tolist()]), np.uint8)
+        size = sizes[hit]
+        other = self.text[np.repeat(begin[hit] - np.cumsum(size) + size, size) + np.arange(len(data))] != data
+        out[hit] = entry[hit]
+        if other.any():  # equal hashes of different keys
+            out[hit[np.repeat(np.arange(len(hit)), size)[other]]] = -1
+        self.used[out[out >= 0]] = self.calls
+        return out
+
+    def add(self, keys: list[bytes], ids: list[bytes]) -> np.ndarray:
+        """Numbers of the entries made for keys that have none."""
+        n, old = len(keys), len(self)
+        ends, id_ends = (np.cumsum(np.fromiter(map(len, x), np.int64, n)) for x in (keys, ids))
+        self.text_at = np.concatenate([self.text_at, self.text_at[-1] + ends])
+        self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + id_ends // 4])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(keys), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        self.used = np.concatenate([self.used, np.full(n, self.calls, np.int32)])
+        hashes = np.fromiter(map(hash, keys), np.int64, n)
+        order = hashes.argsort(kind="stable")
+        at = self.hashes.searchsorted(hashes[order], side="right")
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.entry = np.insert(self.entry, at, (old + order).astype(np.int32))
+        return np.arange(old, old + n)
+
+    def of(self, entry: int) -> bytes:
+        return self.ids[self.ids_at[entry] : self.ids_at[entry + 1]].tobytes()
+
+    def trim(self) -> None:
+        if len(self) <= self.max_cached and self.text.nbytes + self.ids.nbytes <= self.max_bytes:
+            return
+        sizes, counts = np.diff(self.text_at), np.diff(self.ids_at)
+        last = np.argsort(-self.used, kind="stable")
+        cost = np.cumsum((sizes + 4 * counts)[last])
+        stays = np.zeros(len(self), bool)
+        stays[last[: self.max_cached // 2][cost[: self.max_cached // 2] <= self.max_bytes // 2]] = True
+        self.text, self.ids = self.text[np.repeat(stays, sizes)], self.ids[np.repeat(stays, counts)]
+        self.text_at, self.ids_at = (np.concatenate([[0], np.cumsum(x[stays])]) for x in (sizes, counts))
+        self.used = self.used[stays]
+        number, kept_rows = np.cumsum(stays) - 1, stays[self.entry]
+        self.hashes, self.entry = self.hashes[kept_rows], number[self.entry[kept_rows]].astype(np.int32)
+
+
 class ChunkEncoder:
     """Ids of a ``tokenizers`` file whose pre-tokenizer never joins what white space separates:
-    a text's ids are those of its chunks, and each distinct chunk is encoded once (a bounded cache
-    that keeps the chunks used of late). Words of Latin letters are one match each and go through
-    ``Contraction``, all new ones of a batch at once; the library encodes the others."""
+    a text's ids are those of its chunks, and each distinct chunk is encoded once (a cache bounded
+    in entries and bytes that keeps the chunks used of late). Words of Latin letters are one match
+    each and go through ``Contraction``, all new ones of a batch at once; the library encodes the others."""
 
     #: Ends of ASCII punctuation are matches of their own in the tokenizer's pattern.
     TAIL = re.compile(rb"^(.*[A-Za-z0-9\x80-\xff])([.,!?;:%*#$&()\[\]{}|-]+)$")
     #: Longer words go to the library.
     LONGEST = Contraction.LONGEST - 8
+    #: Words contracted at once, at most: a step's matrices are many times the words.
+    AT_ONCE = 16_000
 
-    def __init__(self, path: str, max_cached: int = 600_000):
+    def __init__(self, path: str, max_cached: int = 600_000, max_bytes: int = 32 << 20):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.contract = Contraction(self.library)
-        self.recent = Recent(max_cached)
-        self.known: dict[bytes, bytes] = self.recent.now  # ids of chunks
+        self.cached = Cached(max_cached, max_bytes)
 
     def word(self, chunk: bytes) -> bytes | None:
         """The chunk as normalised, if it is a short word of letters up to U+024F, where lower case
@@ -141,8 +214,10 @@ class ChunkEncoder:
                 return text.encode()
         return None
 
-    def add(self, chunks: set[bytes]) -> None:
-        known, match, word, longest = self.known, self.TAIL.match, self.word, self.LONGEST
+    def made(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct chunks that are not cached, and of what they are made of that is not."""
+        match, word, longest = self.TAIL.match, self.word, self.LONGEST
+        known: dict[bytes, bytes] = {}
         words, given, others, stems, more = [], [], [], [], set()
 
         def sort(c):
@@ -163,16 +238,20 @@ class ChunkEncoder:
                 more.add(tail)
             else:
                 sort(c)
-        for c in more:
-            if c not in known and c not in chunks:
+        parts = list(more.difference(chunks))
+        there = dict(zip(parts, self.cached.find(parts).tolist()))
+        for c in parts:
+            if there[c] < 0:
                 sort(c)
-        known.update(zip(given, self.contract(words)))
+        for i in range(0, len(words), self.AT_ONCE):
+            known.update(zip(given[i : i + self.AT_ONCE], self.contract(words[i : i + self.AT_ONCE])))
         for i in range(0, len(others), 4000):
             part = others[i : i + 4000]
             for c, e in zip(part, self.library.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
                 known[c] = np.array(e.ids, "<u4").tobytes()
-        for c, stem, tail in stems:
-            known[c] = known[stem] + known[tail]
+        for c, *both in stems:
+            known[c] = b"".join([known[x] if x in known else self.cached.of(there[x]) for x in both])
+        return known
 
     def encode(self, texts) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text of a list or an Arrow array (null: empty)."""
@@ -186,16 +265,21 @@ class ChunkEncoder:
         ends = split.offsets.to_numpy()
         chunks = split.flatten().dictionary_encode()
         distinct = chunks.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        self.add(self.recent.missing(set(distinct)))
-        each = list(map(self.known.__getitem__, distinct))
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        begins, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), "<u4")
-        which = chunks.indices.to_numpy()
-        at = np.concatenate([[0], np.cumsum(sizes[which])])
-        # Each token's place among the ids of the distinct chunks.
-        place = np.repeat(begins[which] - at[:-1], sizes[which])
+        cached = self.cached
+        cached.trim()
+        entry = cached.find(distinct)
+        if len(missing := (entry < 0).nonzero()[0]):
+            made = self.made([distinct[i] for i in missing.tolist()])
+            number = dict(zip(made, cached.add(list(made), list(made.values())).tolist()))
+            entry[missing] = [number[distinct[i]] for i in missing.tolist()]
+        which = entry[chunks.indices.to_numpy()]
+        begins = cached.ids_at[which]
+        sizes = cached.ids_at[which + 1] - begins
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        # Each token's place among the ids of the cache.
+        place = np.repeat(begins - at[:-1], sizes)
         place += np.arange(at[-1])
-        data, at = ids[place].tobytes(), (4 * at[ends]).tolist()
+        data, at = cached.ids[place].tobytes(), (4 * at[ends]).tolist()
         return [data[i:j] for i, j in zip(at, at[1:])]
 
 
@@ -362,13 +446,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=1 << 20):  # chunks, ids and places are many times the text
             kind = batch.column("doc_id").type
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
                 waiting[number] = (doc_id, data + end)
                 found = list(packer.add(number, len(data) // 4 + 1))
                 number += 1
                 yield from rows(found)
+            give_back()  # two workers beside one JVM seldom need their most at once
         yield from rows(list(packer.finish()))
 
     docs = docs.select(F.col("doc_id"), F.col("text"))

@@ -98,3 +98,31 @@ def test_contraction_is_the_library():
     assert coder.contract([]) == []
     mixed = ["É Éa, ÉCOLE!! İstanbul, ŁÓDŹ. ét, ǅa. ǆ, ſt' ß) a̸, ª º,", None, "", " \n", "\x1c a"]
     assert [x + b"\x01\0\0\0" for x in coder.encode(mixed)] == [ids(t) for t in mixed]
+
+
+def test_cache_is_small_and_bounded(monkeypatch):
+    import random
+    import tracemalloc
+
+    draw = random.Random(7)
+    words = ["".join(draw.choices("etaoinshrdlu", k=draw.randint(6, 12))) for _ in range(60_000)]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    coder = P.ChunkEncoder(PATH)
+    coder.encode(texts[:1])
+    tracemalloc.start()
+    for i in range(0, len(texts), 10):
+        coder.encode(texts[i : i + 10])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100 * len(set(words))  # bytes; as a dictionary of bytes: 250 a word
+    assert [x + b"\x01\0\0\0" for x in coder.encode(texts[:20])] == [ids(t) for t in texts[:20]]
+    coder = P.ChunkEncoder(PATH, max_bytes=50_000)  # long chunks: the bound is in bytes too
+    for i in range(40):
+        text = f"{i}," * 3000 + f" a word {i}"
+        assert coder.encode([text])[0] + b"\x01\0\0\0" == ids(text)
+    coder.cached.trim()
+    assert coder.cached.text.nbytes + coder.cached.ids.nbytes <= 50_000
+    monkeypatch.setattr(P, "hash", len, raising=False)  # all words of a length collide
+    coder = P.ChunkEncoder(PATH)
+    for part in (texts[:2], texts[1:3], texts[:3]):
+        assert [x + b"\x01\0\0\0" for x in coder.encode(part)] == [ids(t) for t in part]
